@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm.decontamination import op8_decontamination
+from parlance.llm.html_text import op6_html_text
 from parlance.llm.langid import op7_language_id
 from parlance.llm.packing import op3_packing, packing_sql
 from parlance.llm.sharding import op10_sharding
@@ -14,7 +16,9 @@ from parlance.llm.sharding import op10_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
+        "op6_html_text": op6_html_text,
         "op7_language_id": op7_language_id,
+        "op8_decontamination": op8_decontamination,
         "op10_sharding": op10_sharding,
     }
 
