@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm.ann import op5_nearest_neighbours
 from parlance.llm.decontamination import op8_decontamination
 from parlance.llm.html_text import op6_html_text
 from parlance.llm.langid import op7_language_id
@@ -16,6 +17,7 @@ from parlance.llm.sharding import op10_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_html_text": op6_html_text,
         "op7_language_id": op7_language_id,
         "op8_decontamination": op8_decontamination,
