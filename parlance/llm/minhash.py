@@ -8,8 +8,8 @@ the darts up to a rank at which every coordinate has been hit are thrown, about
 signature. Two texts agree in a coordinate with their weighted Jaccard similarity as the odds.
 
 Equal texts are one node. Nodes with an equal band are joined to the smallest of them and the
-pairs' exact similarity is taken from the whole texts; buckets that hold nodes of several
-components are gone through again until every pair across components has been compared.
+pairs' exact similarity is taken from the whole texts; in buckets that then hold nodes of several
+components every pair across components is compared, block against block, so no link is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import U, between, chunks, drop, materialize, mix, prefix, ragged, release, utf8, word_hashes, words
 from parlance.llm.components import components
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 25, 5, 256
 _ONE = 1 << 32  # ranks are whole numbers of 2**-32, so that machines agree on them
 
 
@@ -185,34 +185,70 @@ def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text",
     release(spark)
     pairs = materialize(buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     edges = materialize(verified(pairs, texts, threshold), "links")
-    compared = [pairs]
-    while True:
-        labels = components(edges, "a", "b")
-        named = buckets.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-        named = materialize(named.join(split, "band"), "open-buckets")
-        # the smallest node of each component stands for it in the bucket; the others follow in the next turn
-        new = _open_pairs(named, compared)
-        new = materialize(new, "pairs")
-        if new.isEmpty():
-            drop(named, new)
-            break
-        more = materialize(verified(new, texts, threshold), "links")
-        compared.append(new)
-        drop(named)
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
+    labels = components(edges, "a", "b")
+    named = buckets.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = named.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "n")
+    open_ = materialize(named.join(split, "band"), "open-buckets")
+    more = materialize(cross_links(open_, sketch, texts, threshold), "links")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more), "a", "b")
     return labels
 
 
-def _open_pairs(named: DataFrame, compared: list[DataFrame]) -> DataFrame:
-    """Pairs of nodes in one bucket but two components that have not been compared yet."""
-    other = named.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = named.withColumnRenamed("node", "a").join(other, "band").filter("root <> root_b and a > b").select("a", "b").distinct()
-    for done in compared:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    return pairs
+def cross_links(named: DataFrame, sketch: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components inside the buckets of ``named`` (band, n, node, root).
+
+    Every pair of nodes of one bucket but two components is compared once, in the first band that
+    both share, block against block of about ``BLOCK`` nodes. A task holds two blocks and returns at
+    most one link for each two components, so neither pairs nor whole buckets become rows.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = named.withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    rows = rows.select("band", "node", "root", "_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j"))
+    rows = rows.select("band", "node", "root", F.col("_i").alias("own"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
+    keys = sketch.select("node", "bands").join(named.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = rows.join(keys.join(texts, "node"), "node")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        band, i, j = (k.as_py() for k in key)
+        own = table.column("own").to_numpy()
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(left) or not len(right) or (root == root[0]).all():
+            return none
+        h, _, offs = distinct(*shingles(table.column("text").combine_chunks()))
+        size = np.diff(offs)
+        row = np.repeat(np.arange(len(node)), size)
+        both = np.zeros((len(left), len(right)), np.float32)
+        at = np.full((2, len(node)), -1)
+        at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+        in_left, in_right = at[0, row] >= 0, at[1, row] >= 0
+        shared = np.intersect1d(h[in_left], h[in_right])
+        for lo in range(0, len(shared), 8192):
+            part = shared[lo : lo + 8192]
+            sides = []
+            for side, inside in ((0, in_left), (1, in_right)):
+                col = np.minimum(np.searchsorted(part, h), len(part) - 1)
+                ok = inside & (part[col] == h)
+                m = np.zeros((len((left, right)[side]), len(part)), np.float32)
+                m[at[side, row[ok]], col[ok]] = 1
+                sides.append(m)
+            both += sides[0] @ sides[1].T
+        union = size[left][:, None] + size[right][None] - both
+        ok = (both >= (threshold - 1e-12) * union) & (root[left][:, None] != root[right][None])
+        place = int(np.flatnonzero(bands[0] == band)[0])
+        for b in range(place):
+            ok &= bands[left, b][:, None] != bands[right, b][None]
+        x, y = np.nonzero(ok)
+        if not len(x):
+            return none
+        ends = np.sort(np.stack([root[left[x]], root[right[y]]]), 0)
+        _, first = np.unique(ends, axis=1, return_index=True)
+        return pa.table({"a": pa.array(node[left[x[first]]]), "b": pa.array(node[right[y[first]]])})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,12 +10,14 @@ from parlance.llm.ann import op5_nearest_neighbours
 from parlance.llm.decontamination import op8_decontamination
 from parlance.llm.html_text import op6_html_text
 from parlance.llm.langid import op7_language_id
+from parlance.llm.minhash import op1_near_duplicates
 from parlance.llm.packing import op3_packing, packing_sql
 from parlance.llm.sharding import op10_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op3_packing": op3_packing,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_html_text": op6_html_text,
