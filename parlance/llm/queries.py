@@ -13,11 +13,13 @@ from parlance.llm.langid import op7_language_id
 from parlance.llm.minhash import op1_near_duplicates
 from parlance.llm.packing import op3_packing, packing_sql
 from parlance.llm.sharding import op10_sharding
+from parlance.llm.substrings import op2_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
+        "op2_substrings": op2_substrings,
         "op3_packing": op3_packing,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_html_text": op6_html_text,
