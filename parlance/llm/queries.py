@@ -14,6 +14,7 @@ from parlance.llm.minhash import op1_near_duplicates
 from parlance.llm.packing import op3_packing, packing_sql
 from parlance.llm.sharding import op10_sharding
 from parlance.llm.substrings import op2_substrings
+from parlance.llm.suffixes import op9_suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_text": op6_html_text,
         "op7_language_id": op7_language_id,
         "op8_decontamination": op8_decontamination,
+        "op9_suffixes": op9_suffixes,
         "op10_sharding": op10_sharding,
     }
 
