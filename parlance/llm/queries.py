@@ -12,6 +12,7 @@ from parlance.llm.html_text import op6_html_text
 from parlance.llm.langid import op7_language_id
 from parlance.llm.minhash import op1_near_duplicates
 from parlance.llm.packing import op3_packing, packing_sql
+from parlance.llm.sanitisation import op4_personal_data
 from parlance.llm.sharding import op10_sharding
 from parlance.llm.substrings import op2_substrings
 from parlance.llm.suffixes import op9_suffixes
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_duplicates": op1_near_duplicates,
         "op2_substrings": op2_substrings,
         "op3_packing": op3_packing,
+        "op4_personal_data": op4_personal_data,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_html_text": op6_html_text,
         "op7_language_id": op7_language_id,
