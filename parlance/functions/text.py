@@ -13,6 +13,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------------------------
 STOPWORDS = (
@@ -54,10 +55,13 @@ MIN_JACCARD, MIN_OVERLAP = 0.45, 0.7
 # -----------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Unicode normal form C; the one function that Spark lacks."""
-    return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else t)
+
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else t)
+
+    return F.pandas_udf(normal, StringType())(text)
 
 
 def squeeze(text: Column) -> Column:

@@ -37,11 +37,11 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, doc_key: str, query_k
     postings = terms(docs, doc_key, text, stop).join(wanted, "term", "left_semi")
     kept = word_tokens(F.col(text))
     lengths = docs.select(doc_key, F.size(without(kept, stop) if stop else kept).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    n, mean = lengths.agg(F.count(F.lit(1))).scalar(), lengths.agg(F.avg("len")).scalar()
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    hits = postings.drop("weight").join(asked, "term").join(df, "term").join(lengths, doc_key).crossJoin(F.broadcast(stats))  # one row
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    hits = postings.drop("weight").join(asked, "term").join(df, "term").join(lengths, doc_key)
     scored = hits.groupBy(query_key, doc_key).agg(F.sum(part).alias("score")).filter("score > 0")
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 8)), doc_key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
