@@ -95,10 +95,10 @@ def revealing(docs: DataFrame, text: str, rows: DataFrame, mentions: DataFrame,
         terms = F.broadcast(terms)
     n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n_e = mentions.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    total = rows.agg(F.sum("_words").alias("n")).select(F.greatest("n", F.lit(1)).cast("double").alias("n"))
-    scored = pairs.join(n_t, "term").join(n_e, "e").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log(F.col("n_et") * F.col("n") / (F.col("n_e").cast("double") * F.greatest("n_t", "n_et")))
-    content = F.log(F.col("n") / F.col("n_e"))
+    total = F.greatest(rows.agg(F.sum("_words")).scalar(), F.lit(1)).cast("double")
+    scored = pairs.join(n_t, "term").join(n_e, "e")
+    pmi = F.log(F.col("n_et") * total / (F.col("n_e").cast("double") * F.greatest("n_t", "n_et")))
+    content = F.log(total / F.col("n_e"))
     scored = scored.withColumn("pmi", pmi).withColumn("ic", content)
     return scored.filter(F.col("pmi") >= F.col("ic") / generalise).select("e", "term", (F.col("pmi") >= F.col("ic") / remove).alias("removed"))
 
