@@ -101,10 +101,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray, copy: bool = True) -> np.ndarray:
     """The finalizer of splitmix64."""
     with np.errstate(over="ignore"):
-        h = h.astype(U, copy=True)
+        h = h.astype(U, copy=copy)
         h ^= h >> U(30)
         h *= U(0xBF58476D1CE4E5B9)
         h ^= h >> U(27)
@@ -126,7 +126,17 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (sums[end] - sums[start]) * powers(_INV, len(sums))[start]
         h += (end - start).astype(U) * U(0xD6E8FEB86659FD93)
-    return mix(h)
+    return mix(h, copy=False)
+
+
+def rolling(sums: np.ndarray, size: int) -> np.ndarray:
+    """``between`` for every range of ``size`` values, without arrays of places."""
+    n = max(0, len(sums) - size)
+    with np.errstate(over="ignore"):
+        h = sums[size:] - sums[:n] if n else np.zeros(0, U)
+        h *= powers(_INV, len(sums))[:n]
+        h += U(size * 0xD6E8FEB86659FD93 % (1 << 64))
+    return mix(h, copy=False)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

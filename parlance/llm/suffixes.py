@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U, between, mix, prefix, ragged, release
+from parlance.llm.common import U, between, mix, prefix, ragged, release, rolling
 from parlance.llm.packs import BUCKET_KEYS, Pack, attach, each_pack, exchange, make_packs, positions, returned
 
-WINDOW, GRAM = 100, 40
+WINDOW, GRAM, BYTES = 100, 40, 1_000_000
 _EARLIER, _SEVERAL = 1, 2
 
 
@@ -67,13 +67,18 @@ def anchors(gram: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -
         if step < n:
             np.minimum(least[: n - step], least[step:], out=least[: n - step])
         have += step
-    count = np.maximum(last - first + 1, 0)
-    s = np.repeat(first, count) + ragged(count)
-    value = least[s]
-    new = np.ones(len(s), bool)
-    new[1:] = (value[1:] != value[:-1]) | (s[1:] != s[:-1] + 1)
-    head = np.flatnonzero(new)
-    lo, hi, value = s[head], s[np.append(head[1:], len(s)) - 1] if len(s) else s, value[head]
+    edge = np.zeros(n + 1, np.int8)
+    edge[first[last >= first]] += 1
+    edge[last[last >= first] + 1] -= 1
+    starts = np.cumsum(edge[:n], dtype=np.int8).view(bool)
+    same = np.zeros(n + 1, bool)  # a place whose run goes on from the place before
+    np.equal(least[1:], least[:-1], out=same[1:n])
+    same[1:n] &= starts[1:] & starts[:-1]
+    if len(first):
+        same[first] = False
+    lo, hi = np.flatnonzero(starts & ~same[:n]), np.flatnonzero(starts & ~same[1:])
+    value = least[lo]
+    del least, edge, starts, same
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     span = np.arange(width)
     while len(lo):
@@ -96,12 +101,10 @@ class _Runs:
 
     def __init__(self, pack: Pack, window: int, gram: int) -> None:
         self.sums = prefix(pack.raw.astype(U) + U(1))
-        n = len(pack.raw)
-        at = np.arange(max(0, n - gram + 1))
         size = np.diff(pack.offs)
         long = size >= window
         first, last = pack.offs[:-1][long], pack.offs[1:][long] - window
-        hashes = between(self.sums, at, at + gram)
+        hashes = rolling(self.sums, gram)
         self.lo, self.hi, place = anchors(hashes, first, last, window - gram + 1)
         self.suffix = hashes[place] if len(place) else np.zeros(0, U)
         run = between(self.sums, self.lo, self.hi + window)
@@ -141,7 +144,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
-    packs = make_packs(docs, key, text, ordered=True)
+    packs = make_packs(docs, key, text, ordered=True, pack_bytes=BYTES)
     release(spark)
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(1, total // 16 // BUCKET_KEYS)
