@@ -106,7 +106,7 @@ class _Runs:
         first, last = pack.offs[:-1][long], pack.offs[1:][long] - window
         hashes = rolling(self.sums, gram)
         self.lo, self.hi, place = anchors(hashes, first, last, window - gram + 1)
-        self.suffix = hashes[place] if len(place) else np.zeros(0, U)
+        self.suffix = mix(hashes[place])  # least hashes are small ones; mixed again they spread over the buckets
         run = between(self.sums, self.lo, self.hi + window)
         with np.errstate(over="ignore"):
             self.run = mix(run ^ ((place - self.lo).astype(U) * U(0xA24BAED4963EE407)))
