@@ -43,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB: the JVM holds them outside its heap, and Python once more."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables written by ``materialize`` that nothing reads any more."""
     for df in tables:

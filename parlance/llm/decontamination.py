@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from parlance.llm.common import U, chunks, mix, ragged, utf8, word_hashes, words
+from parlance.llm.common import U, chunks, mix, ragged, small_batches, utf8, word_hashes, words
 
 # Together these masks hit every 13 words of which any two are substituted, and
 # 99 of 100 ways to substitute three (tests/llm).
@@ -79,6 +79,7 @@ def build(ids: list[int], texts: list[str | None]) -> Block:
 
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark in blocks of about ``block_words`` words; null and empty items have no seeds."""
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).filter("t is not null and id is not null")
     total = rows.agg(F.sum(F.regexp_count("t", F.lit(r"\S+")))).first()[0] or 0
     n = -(-total // block_words)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.llm.common import small_batches
+
 DIMS, PER_LANG, CENTROIDS, MAX_LANGS, SLACK = 8192, 400, 3, 256, 0.2
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -129,6 +131,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     keep = docs.drop("lang_pred", "score", "rejected")
     schema = StructType(list(keep.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     names = np.array([*model.langs, "und"], dtype=object)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U, between, chunks, drop, materialize, mix, prefix, ragged, release, utf8, word_hashes, words
+from parlance.llm.common import U, between, chunks, drop, materialize, mix, prefix, ragged, release, small_batches, utf8, word_hashes, words
 from parlance.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 25, 5, 256
@@ -143,6 +143,7 @@ def node_of(text: str):
 def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
     """doc_id, node and the band keys of every row; wordless texts have no keys."""
     kind = dict(docs.dtypes)[key]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

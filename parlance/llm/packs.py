@@ -17,9 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import U, chunks, materialize, utf8
+from parlance.llm.common import U, chunks, materialize, small_batches, utf8
 
-PACK_BYTES, BUCKET_KEYS, BATCH_BYTES = 2_000_000, 2_000_000, 8 << 20
+PACK_BYTES, BUCKET_KEYS = 2_000_000, 2_000_000
 
 
 @dataclass
@@ -37,8 +37,7 @@ def make_packs(docs: DataFrame, key: str, text: str, ordered: bool, pack_bytes:
     ``ordered``: by a range shuffle, packs and their rows follow the order of the key (null first;
     equal keys by their texts' hash). Otherwise rows stay where they are and nothing is shuffled.
     """
-    # packs are large rows: smaller Arrow batches, held by the JVM outside its heap and by Python again
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
     if ordered:
