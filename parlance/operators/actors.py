@@ -144,18 +144,16 @@ def split_mentions(actor: str | None, names: list[str]) -> list[tuple[str, str]]
     out: list[tuple[str, str]] = []
     sides = re.split(SUPPORT_CUE, re.sub(ROLE_IN_PARENTHESES, lambda m: f"\x03{said[m.group(1).lower()]}\x03", text), maxsplit=1)
     for s, side in enumerate(sides):
-        led = bool(re.search(LEAD_CUE, side))
         parts = [p for p in re.split(SEPARATOR, re.sub(LEAD_CUE, " ", side)) if p.strip(" ,;:.-")]
-        for i, part in enumerate(parts):
+        usual = "support" if s else "lead" if len(parts) == 1 or re.search(LEAD_CUE, side) else "joint"
+        for part in parts:
             role = re.search("\x03(lead|support)\x03", part)
             name = re.sub("\x02(\\d+)\x02", lambda m: kept[int(m.group(1))], re.sub("\x03\\w+\x03", "", part))
             name = re.sub(r"(?i)^(?:[\s,;:.\-]|(?:thì|là|do)(?!\w))+|(?:[\s,;:.\-]|(?<!\w)thì)+$", "", name)
             if name:
-                out.append((" ".join(name.split()), role.group(1) if role else "support" if s else "lead" if led and i == 0 else "joint"))
-    if len(out) > 1 and all(r == "joint" for _, r in out) and len(sides) > 1:
-        out[0] = (out[0][0], "lead")
-    if len(out) == 1 and out[0][1] == "joint":
-        out[0] = (out[0][0], "lead")
+                out.append((" ".join(name.split()), role.group(1) if role else usual))
+    if any(role == "lead" for _, role in out):  # where someone leads, nobody is merely joint
+        out = [(name, "lead" if role == "joint" else role) for name, role in out]
     order = {"lead": 0, "joint": 1, "support": 2}
     return sorted(out, key=lambda x: order[x[1]])
 
@@ -175,6 +173,52 @@ def exploded_mentions(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def support_in_text(text: str | None, names: list[str]) -> list[str]:
+    """The known names that stand after "in cooperation with" in a task's text, up to the end of the clause, in order."""
+    found: dict[str, int] = {}
+    for cue in re.finditer(SUPPORT_CUE, text or ""):
+        clause = re.split(r"[.;]", text[cue.end() :], maxsplit=1)[0]
+        for name in names:
+            hit = re.search(rf"(?i)(?<!\w){re.escape(name)}(?!\w)", clause)
+            if hit and name not in found:
+                found[name] = cue.end() + hit.start()
+    return sorted(found, key=lambda n: (found[n], n))
+
+
+def support_parties(tasks: DataFrame, names: DataFrame) -> DataFrame:
+    """(meeting_id, row_id, name, place): parties of the roster named in support inside a task's text.
+
+    ``tasks``: meeting_id, row_id, text. ``names``: meeting_id, name. The clause after the cue is
+    taken first, so names are compared only inside meetings that have such clauses.
+    """
+    clause = F.regexp_extract("text", "(?iU)" + SUPPORT_CUE.removeprefix("(?i)") + r"([^.;]*)", 1)
+    rows = tasks.withColumn("_c", F.lower(clause)).filter("_c <> ''").join(names, "meeting_id")
+    place = F.expr("locate(lower(name), _c)")
+    whole = F.regexp_like("_c", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower("name"), F.lit(r"\E(?!\w)")))
+    return rows.filter(whole).select("meeting_id", "row_id", "name", place.alias("place"))
+
+
+def people_and_speakers(people: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(meeting_id, name, ref_id, speaker): everyone of the roster, with the label by which they spoke, and speakers whom it lacks."""
+    known = speaker_person(speakers.select("meeting_id", "speaker"), people)
+    spoke = known.filter("ref_id is not null").groupBy("meeting_id", "ref_id").agg(F.min("speaker").alias("speaker"))
+    listed = people.join(spoke, ["meeting_id", "ref_id"], "left").select("meeting_id", F.col("full_name").alias("name"), "ref_id", "speaker")
+    return listed.unionByName(known.filter("ref_id is null").select("meeting_id", F.col("speaker").alias("name"), F.lit(None).cast("string").alias("ref_id"), "speaker"))
+
+
+def chair_speaker(chairs: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(meeting_id, chair, speaker): the label by which the chair speaks: by key, else by whole words if only one label fits."""
+    c = chairs.withColumn("_c", name_key(F.col("chair")))
+    s = speakers.select("meeting_id", "speaker").distinct().withColumn("_s", name_key(F.col("speaker")))
+    rows = c.join(s, "meeting_id")
+    inside = lambda a, b: F.regexp_like(a, F.concat(F.lit(r"(?U)(?<!\w)\Q"), b, F.lit(r"\E(?!\w)")))
+    same = F.col("_c") == F.col("_s")
+    rows = rows.withColumn("_same", same).filter(same | inside(F.col("_c"), F.col("_s")) | inside(F.col("_s"), F.col("_c")))
+    agg = rows.groupBy("meeting_id", "chair").agg(F.min(F.when(F.col("_same"), F.col("speaker"))).alias("_e"), F.min("speaker").alias("_w"), F.count(F.lit(1)).alias("_n"))
+    found = agg.select("meeting_id", "chair", F.coalesce("_e", F.when(F.col("_n") == 1, F.col("_w"))).alias("speaker"))
+    return chairs.join(found, ["meeting_id", "chair"], "left")
+
+
 def accepted_choice(rows: DataFrame) -> Column:
     """Whether a verifier's choice holds: every part is a candidate's name, and a reason is given."""
     names = F.transform("candidate_names", lambda n: name_key(n))

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import dice
+from parlance.functions.dates import normalize_deadline
+from parlance.functions.text import dice, syllables
 
 # --- fixed values -----------------------------------------------------------------------------
 WINDOW, MIN_DICE, RESAMPLES = 1, 0.15, 1000
@@ -122,6 +123,71 @@ def _resampled(counts: DataFrame, resamples: int, seed: int, sums: list[str]) ->
     return drawn.groupBy("resample").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums])
 
 
+def with_turns(rows: DataFrame, turns: DataFrame) -> DataFrame:
+    """Items (meeting_id, item_no, evidence) with turns, the sorted positions of their evidence; unknown or no evidence drops an item."""
+    e = rows.select("meeting_id", "item_no", F.explode("evidence").alias("turn_id")).join(turns.select("meeting_id", "turn_id", "turn_no"), ["meeting_id", "turn_id"], "left")
+    agg = e.groupBy("meeting_id", "item_no").agg(F.sort_array(F.collect_set("turn_no")).alias("turns"), F.max(F.col("turn_no").isNull()).alias("_lost")).filter("not _lost").drop("_lost")
+    return rows.join(agg, ["meeting_id", "item_no"])
+
+
+def deadline_matches(pred: Column, gold: Column, anchor: Column) -> Column:
+    """Both none, the same date, or, where one has no date, words enough in common."""
+    p = F.nullif(F.trim(pred), F.lit(""))
+    a, b = normalize_deadline(p, anchor)["deadline_date"], normalize_deadline(gold, anchor)["deadline_date"]
+    alike = dice(syllables(p), syllables(gold)) >= 0.5
+    return F.when(p.isNull() | gold.isNull(), p.isNull() & gold.isNull()).when(a.isNotNull() & b.isNotNull(), a == b).otherwise(alike)
+
+
+COUNTS = ("tp_actions", "n_pred_actions", "n_gold_actions", "tp_decisions", "n_pred_decisions", "n_gold_decisions", "n_trapped", "n_traps", "n_covered", "n_points")
+
+
+def score_meetings(pred_actions: DataFrame, gold_actions: DataFrame, pred_decisions: DataFrame, gold_decisions: DataFrame, traps: DataFrame, points: DataFrame, discussion: DataFrame, meetings: DataFrame) -> DataFrame:
+    """The counts of each meeting: matches, predictions, gold, traps and covered points, zeros where there is nothing."""
+
+    def count(rows: DataFrame, name: str, only: Column | None = None) -> DataFrame:
+        return rows.groupBy("meeting_id").agg((F.count(F.lit(1)) if only is None else F.count_if(only)).alias(name))
+
+    ma, md = greedy_match(pairs_in_window(pred_actions, gold_actions)), greedy_match(pairs_in_window(pred_decisions, gold_decisions))
+    on_actions = traps.filter(F.col("kind").isin("rejected_task", "unassigned_task", "hedged_proposal"))
+    on_decisions = traps.filter(F.col("kind").isin("hedged_proposal", "superseded_decision", "rejected_task"))
+    hits = trapped(pred_actions, ma, on_actions).select("meeting_id", "trap_id").unionByName(trapped(pred_decisions, md, on_decisions).select("meeting_id", "trap_id")).distinct()
+    parts = [
+        count(ma, "tp_actions"), count(pred_actions, "n_pred_actions"), count(gold_actions, "n_gold_actions"), count(md, "tp_decisions"), count(pred_decisions, "n_pred_decisions"), count(gold_decisions, "n_gold_decisions"),
+        count(hits, "n_trapped"), count(traps, "n_traps"), count(covered(points, discussion), "n_covered", F.col("covered")), count(points, "n_points"),
+    ]
+    out = meetings.select("meeting_id").distinct()
+    for part in parts:
+        out = out.join(part, "meeting_id", "left")
+    return out.na.fill(0)
+
+
+def summarize(counts: DataFrame) -> DataFrame:
+    """Micro rates over all meetings, and their average: null if one of the four is."""
+    sums = counts.agg(*[F.sum(c).alias(c) for c in COUNTS])
+    rows = sums.select(
+        f1(F.col("tp_actions"), F.col("n_pred_actions"), F.col("n_gold_actions")).alias("action_f1"), f1(F.col("tp_decisions"), F.col("n_pred_decisions"), F.col("n_gold_decisions")).alias("decision_f1"),
+        F.try_divide("n_covered", "n_points").alias("coverage"), F.try_divide("n_trapped", "n_traps").alias("trap_rate"),
+    )
+    return rows.withColumn("average", (F.col("action_f1") + F.col("decision_f1") + F.col("coverage") + 1 - F.col("trap_rate")) / 4)
+
+
+def labelled_sample(turns: DataFrame, positive: DataFrame, negative: DataFrame, others: int = 8, seed: int = 7) -> DataFrame:
+    """Labelled turns (meeting_id, turn_no, label): gold ones that are not both, and ``others`` random ones of each meeting: a sampling operator."""
+    keys = ["meeting_id", "turn_no"]
+    p, n = positive.select(*keys).distinct(), negative.select(*keys).distinct()
+    gold = p.join(n, keys, "left_anti").withColumn("label", F.lit(True)).unionByName(n.join(p, keys, "left_anti").withColumn("label", F.lit(False)))
+    free = turns.select(*keys).join(p.unionByName(n).distinct(), keys, "left_anti")
+    draw = F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.xxhash64(*keys, F.lit(seed)), "turn_no"))
+    return gold.unionByName(free.withColumn("_r", draw).filter(F.col("_r") <= others).drop("_r").withColumn("label", F.lit(None).cast("boolean")))
+
+
+def strongest_boundaries(scores: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``n`` deepest gaps of each meeting (wanted: meeting_id, n) as boundaries: (meeting_id, pos)."""
+    w = Window.partitionBy("meeting_id").orderBy(F.desc("depth"), "gap")
+    rows = scores.withColumn("_r", F.row_number().over(w)).join(wanted, "meeting_id").filter(F.col("_r") <= F.col("n"))
+    return rows.select("meeting_id", (F.col("gap") + 1).alias("pos"))
+
+
 def bootstrap_interval(counts: DataFrame, resamples: int = RESAMPLES, seed: int = 7, level: float = 0.95) -> DataFrame:
     """The micro F1 of per-meeting counts (tp, n_pred, n_gold), and its percentile interval over resamples of meetings."""
     score = f1(F.col("tp"), F.col("n_pred"), F.col("n_gold"))
