@@ -193,6 +193,9 @@ def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text",
     more = materialize(cross_links(open_, sketch, texts, threshold), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more), "a", "b")
+    labels = materialize(labels, "labels")
+    drop(buckets, texts, pairs, edges, open_, more)
+    release(spark)
     return labels
 
 
