@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import small_batches
 
-DIMS, PER_LANG, CENTROIDS, MAX_LANGS, SLACK = 8192, 400, 3, 256, 0.2
+DIMS, PER_LANG, MAX_SAMPLE, CENTROIDS, MAX_LANGS, SLACK = 8192, 400, 4000, 3, 256, 0.2
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -77,7 +77,7 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG, k: int = CENTROIDS) -> Model:
-    """Learns from at most about 1.5 * ``per_lang`` texts per language, chosen by a hash of the key.
+    """Learns from about 1.2 * ``per_lang`` texts per language, and 1.2 * 4000 in all, chosen by a hash of the key.
 
     Rows with a null text or language, or without letters, teach nothing. The bounded sample, and
     one count per language (at most 256 languages), is all that reaches the driver, as feature counts.
@@ -86,6 +86,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
     if not n:
         return Model((), np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(40))
+    per_lang = min(per_lang, MAX_SAMPLE // len(n))
     rate = F.lit(0.0)
     for name, c in n.items():
         rate = F.when(F.col("l") == F.lit(name), F.lit(min(1.0, 1.2 * per_lang / c))).otherwise(rate)

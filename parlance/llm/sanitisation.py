@@ -29,7 +29,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _MARK = "\x01"
-_GUARD = {"email": "contains(t, '@')", "ip": "t rlike r'[0-9][.][0-9]'", "card": "t rlike r'[0-9][ -]?[0-9]'", "phone": "contains(t, '+')"}
+_GUARD = {"email": "contains(_text, '@')", "ip": "_text rlike r'[0-9][.][0-9]'", "card": "_text rlike r'[0-9][ -]?[0-9]'", "phone": "contains(_text, '+')"}
 _DIGITS = "regexp_replace({v}, r'[^0-9]', '')"
 _LUHN = (
     "aggregate(sequence(1, length(d)), 0, (a, k) -> a + CASE WHEN k % 2 = 1 THEN cast(substr(d, length(d) - k + 1, 1) AS int)"
@@ -46,12 +46,12 @@ _NONE = "cast(array() AS array<struct<s: int, e: int, v: string, pre: string, po
 
 
 def _spans(kind: str) -> Column:
-    """The valid matches of a kind in column t: start, end, normalised value, and the words before and after."""
+    """The valid matches of a kind in column _text: start, end, normalised value, and the words before and after."""
     words = f"r'^(?:\\P{{L}}*+\\p{{L}}++){{1,{AROUND}}}'"
     valid, value = _VALID[kind].format(v="p[x.i]"), _VALUE[kind].format(v="p[x.i]")
     # the text is split at marks put around the matches, so every second part is a match
     return F.expr(
-        f"CASE WHEN {_GUARD[kind]} THEN transform(array(split(regexp_replace(t, r'{PATTERNS[kind]}', '{_MARK}$0{_MARK}'), '{_MARK}')), p -> CASE WHEN size(p) > 1 THEN "
+        f"CASE WHEN {_GUARD[kind]} THEN transform(array(split(regexp_replace(_text, r'{PATTERNS[kind]}', '{_MARK}$0{_MARK}'), '{_MARK}')), p -> CASE WHEN size(p) > 1 THEN "
         f"transform(filter(aggregate(sequence(1, size(p) - 1, 2), named_struct('at', length(p[0]), 'out', cast(array() AS array<struct<s: int, e: int, i: int>>)), "
         f"(a, i) -> named_struct('at', a.at + length(p[i]) + length(p[i + 1]), 'out', concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(p[i]), 'i', i)))), a -> a.out), "
         f"x -> {valid}), x -> named_struct('s', x.s, 'e', x.e, 'v', {value}, "
@@ -63,9 +63,9 @@ def _spans(kind: str) -> Column:
 def scan(docs: DataFrame, text: str) -> DataFrame:
     """Every row with _rid, the spans of each kind, and the number of words."""
     t = F.translate(F.coalesce(F.col(text), F.lit("")), _MARK, "\x02")  # no pattern has either
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("t", t)
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", t)
     found = [_spans(kind).alias(f"_{kind}") for kind in PATTERNS]
-    return rows.select(*[c for c in docs.columns], "_rid", *found, F.regexp_count("t", F.lit(r"\p{L}+")).alias("_words"))
+    return rows.select(*[c for c in docs.columns], "_rid", *found, F.regexp_count("_text", F.lit(r"\p{L}+")).alias("_words"))
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
