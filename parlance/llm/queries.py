@@ -11,6 +11,7 @@ from parlance.llm.decontamination import op8_decontamination
 from parlance.llm.html_text import op6_html_text
 from parlance.llm.langid import op7_language_id
 from parlance.llm.minhash import op1_near_duplicates
+from parlance.llm.oracles import near_duplicates_sql, substrings_sql, suffixes_sql
 from parlance.llm.packing import op3_packing, packing_sql
 from parlance.llm.sanitisation import op4_personal_data
 from parlance.llm.sharding import op10_sharding
@@ -34,4 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_packing": packing_sql()}
+    return {
+        "op1_near_duplicates": near_duplicates_sql(),
+        "op2_substrings": substrings_sql(),
+        "op3_packing": packing_sql(),
+        "op9_suffixes": suffixes_sql(),
+    }
