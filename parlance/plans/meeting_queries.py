@@ -159,6 +159,20 @@ def evidence_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("meeting_id", "turn", F.array_join("reasons", "; ").alias("reasons"), "verdict")
 
 
+@query(
+    """WITH c AS (SELECT conv_id AS meeting_id, turn, lower(text) AS t, CASE WHEN length(text) % 3 <> 0 THEN (length(text) % 100) / 100.0 END AS p FROM conversations),
+r AS (SELECT meeting_id, turn, CASE WHEN turn % 2 = 0 THEN [] ELSE ['not agreed'] END || CASE WHEN p IS NULL AND regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(of|que)($|[^\\p{L}\\p{N}_])') THEN ['hedged'] ELSE [] END
+|| CASE WHEN p IS NULL THEN CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(the|la|der)($|[^\\p{L}\\p{N}_])') THEN [] ELSE ['confirm turn is no commitment'] END WHEN p >= 0.8 THEN [] WHEN p < 0.2 THEN ['confirm turn is no commitment'] ELSE ['confirm turn is unclear'] END AS r FROM c)
+SELECT meeting_id, turn, array_to_string(r, '; ') AS reasons, CASE WHEN len(r) = 0 THEN 'clear' ELSE 'uncertain' END AS verdict FROM r"""
+)
+def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks against taking each turn as a decision."""
+    n = F.length("text")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting_id"), "turn", "text", F.when(F.col("turn") % 2 == 0, "agreed").otherwise("proposed").alias("status"), F.col("text").alias("confirm_text"), F.when(n % 3 != 0, (n % 100) / 100.0).alias("p_commit"))
+    out = progress.check_decisions(rows, cues=["the", "la", "der"], hedges=["of", "que"])
+    return out.select("meeting_id", "turn", F.array_join("reasons", "; ").alias("reasons"), "verdict")
+
+
 @query()
 def merged_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations as assignments, duplicates merged by first fit."""

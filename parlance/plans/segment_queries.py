@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.vectors import cosine, norm
+from parlance.functions.vectors import cosine, dot, norm, total
 from parlance.operators import search
 from parlance.operators import segmentation as sg
 from parlance.plans.registry import query, table
@@ -73,8 +73,6 @@ def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = rows.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 8")
     first = sg.tree_splits(rows.join(n.select("meeting_id"), "meeting_id", "left_semi")).filter("split_order = 0")
     size = rows.groupBy("meeting_id").agg(F.sum(norm(F.col("embedding")) * norm(F.col("embedding"))).alias("sq"), F.collect_list("embedding").alias("v"))
-    from parlance.functions.vectors import dot, total
-
     mean = total(F.col("v"))
     whole = F.col("sq") - dot(mean, mean) / F.size("v")
     return first.join(size.select("meeting_id", whole.alias("whole")), "meeting_id").select("meeting_id", "cut", F.round(F.col("whole") - F.col("gain"), 6).alias("loss"))
@@ -97,8 +95,6 @@ def select_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MEETINGS} SELECT meeting_id, pos, round(list_cosine_similarity(e, lag(e) OVER (PARTITION BY meeting_id ORDER BY pos)), 6) AS cosine, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm FROM m")
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine with the vector before, and norm, of every vector."""
-    from pyspark.sql import Window
-
     before = F.lag("embedding").over(Window.partitionBy("meeting_id").orderBy("pos"))
     rows = meetings(spark, sf_dir).withColumn("b", before)
     near = F.when(F.col("b").isNotNull(), cosine(F.col("embedding"), F.col("b")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
+from parlance.operators import segmentation as sg
 from parlance.operators import transcripts as tr
 from parlance.plans.registry import query, table
 
@@ -53,8 +54,6 @@ SELECT user_id, session_no, count(*) AS n_events, min(event_id) AS first_event,
 )
 def turns_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of events: a gap of more than an hour ends one."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ends = F.lag("ts").over(w).isNull() | (F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 1 HOUR"))
     rows = table(spark, sf_dir, "events").withColumn("brk", ends.cast("int"))
@@ -132,8 +131,6 @@ SELECT meeting_id, owner, min(p) AS first_pos, max(p) AS last_pos, string_agg(te
 )
 def citation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring cited lines of a speaker as one quote; lines whose length 3 divides are not cited."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("meeting_id").orderBy("pos")).cast("bigint")
     rows = line_items(spark, sf_dir).select("meeting_id", F.col("speaker").alias("owner"), n.alias("pos"), "text").filter(F.length("text") % 3 != 0)
     return tr.citation_runs(rows)
@@ -151,8 +148,6 @@ CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE k / least(na, nb) END::DOUBLE AS overla
 )
 def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike the words of each turn and the one before it are."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("meeting_id").orderBy("turn_no")
     rows = conversation_turns(spark, sf_dir).select("meeting_id", "turn_no", F.array_distinct(tx.word_tokens(F.col("text_exact"))).alias("a"))
     rows = rows.withColumn("b", F.lag("a").over(w)).filter("b is not null")
@@ -228,3 +223,31 @@ def transcript_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_turns"), F.sum(F.size("source_items")).cast("bigint").alias("n_items"), F.count_distinct("speaker").alias("n_speakers"),
         ((F.max("end_ms") - F.min("start_ms")) / 1000.0).alias("seconds"), floor.alias("min_segment_chars"),
     )
+
+
+@query(
+    f"""WITH {TURNS}, c AS (SELECT meeting_id, turn_no, (turn_no - 1) // 3 + 1 AS topic_no, length(coalesce(speaker, 'None') || ': ' || text_exact) + 1 AS chars FROM turns),
+p AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY meeting_id ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT meeting_id, topic_no, 'TOPIC_SEG_' || lpad(topic_no::VARCHAR, 6, '0') AS segment_id, min(turn_no) AS first_turn, max(turn_no) AS last_turn, min(before)::BIGINT AS chars_before, sum(chars)::BIGINT AS chars FROM p GROUP BY meeting_id, topic_no"""
+)
+def topic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where topics of three turns each begin and end, in turns and characters."""
+    rows = tr.char_prefix(conversation_turns(spark, sf_dir)).withColumn("pos", F.col("turn_no"))
+    rows = sg.numbered_segments(rows, (F.col("turn_no") - 1) % 3 == 0)
+    agg = rows.groupBy("meeting_id", F.col("segment_no").alias("topic_no"), "segment_id")
+    return agg.agg(F.min("turn_no").alias("first_turn"), F.max("turn_no").alias("last_turn"), F.min("chars_before").alias("chars_before"), F.sum("chars").alias("chars"))
+
+
+_CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1))"
+
+
+@query(
+    f"""WITH {LINES}, p AS (SELECT meeting_id, pos, {_CONTENT.format(t="text")} AS a, {_CONTENT.format(t="lag(text) OVER (PARTITION BY meeting_id ORDER BY pos)")} AS b FROM items),
+c AS (SELECT meeting_id, pos, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS k FROM p WHERE b IS NOT NULL)
+SELECT meeting_id, pos, na > 0 AND nb > 0 AND k / nullif(na + nb - k, 0) >= 0.2 AS alike FROM c"""
+)
+def near_duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of a conversation share a fifth of their words with the line before."""
+    rows = line_items(spark, sf_dir).select("meeting_id", "pos", F.array_distinct(F.filter(tx.word_tokens(F.col("text")), lambda x: F.length(x) > 1)).alias("a"))
+    rows = rows.withColumn("b", F.lag("a").over(Window.partitionBy("meeting_id").orderBy("pos"))).filter("b is not null")
+    return rows.select("meeting_id", "pos", (tx.jaccard(F.col("a"), F.col("b")) >= 0.2).alias("alike"))
