@@ -29,16 +29,23 @@ SKIPPED = frozenset("aside button canvas dialog footer form head header iframe i
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
 CLOSES_P = BLOCK - {"body", "head", "html", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend"}
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|footer|header|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])",
-    re.I,
+NOISE_WORDS = frozenset(
+    "ad ads adsense advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu modal nav navbar navigation"
+    " newsletter notice notices pager pagination popup promo promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+NOT_ITSELF = frozenset("has is js no show with without".split())  # "has-sidebar" is no sidebar
 _TOKEN = re.compile(r"<!--|<([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
-NEUTRAL, MAIN, NOISE = 0, 1, 2
+NEUTRAL, ARTICLE, NOISE, BODY = 0, 1, 2, 3
+
+
+def is_noise(said: str) -> bool:
+    """Whether a class, id or role names something that is no content."""
+    parts = (re.split(r"[-_]+", token) for token in said.lower().split())
+    return any(p[0] not in NOT_ITSELF and not NOISE_WORDS.isdisjoint(p) for p in parts)
 
 
 def lines(page: str) -> list[tuple[int, str]]:
@@ -103,16 +110,13 @@ def lines(page: str) -> list[tuple[int, str]]:
                         break
             kind = stack[-1][1] if stack else NEUTRAL
             if kind != NOISE and name not in ("html", "body"):
-                if name in SKIPPED:
+                said = " ".join(a or b or c for a, b, c in _ATTR.findall(attrs)) if attrs else ""
+                if name in SKIPPED or is_noise(said) or (attrs and _HIDDEN.search(attrs)):
                     kind = NOISE
-                elif attrs and name not in ("article", "main"):
-                    said = " ".join(a or b or c for a, b, c in _ATTR.findall(attrs))
-                    if _NOISE.search(said) or _HIDDEN.search(attrs):
-                        kind = NOISE
-                    elif re.search(r"(?:^|\s)main(?:\s|$)", said):
-                        kind = MAIN
-                elif name in ("article", "main"):
-                    kind = MAIN
+                elif name == "article":
+                    kind = ARTICLE
+                elif kind != ARTICLE and (name == "main" or "main" in said.lower().split()):
+                    kind = BODY
             if name in RAW:
                 end = _ENDS[name].search(page, at)
                 at = end.end() if end else at
@@ -174,8 +178,9 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
 def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> tuple[str, int]:
     """The text of a page given its neighbour's lines, and how many lines they share."""
     shared = set(common_lines([t for _, t in own], [t for _, t in other])) if other else set()
-    marked = any(kind == MAIN for kind, _ in own)
-    kept = [t for i, (kind, t) in enumerate(own) if kind == MAIN or (kind == NEUTRAL and not marked and i not in shared)]
+    kinds = {kind for kind, _ in own}
+    best = ARTICLE if ARTICLE in kinds else BODY if BODY in kinds else None
+    kept = [t for i, (kind, t) in enumerate(own) if kind == best or (best is None and kind == NEUTRAL and i not in shared)]
     return "\n\n".join(kept), len(shared)
 
 

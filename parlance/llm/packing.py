@@ -79,7 +79,9 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, bu
             here = (F.col("n_tokens") > 0) & (F.col("n_tokens") <= most)
             bucket, bound = bucket.when(here, b), bound.when(here, most)
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("bucket_len", bound.cast("long"))
-    full = rows.filter("bucket is not null").withColumn("_b", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SLICES)))
+    whole = dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    number = F.coalesce(F.col("doc_id"), F.lit(0)) if whole else F.xxhash64("doc_id")
+    full = rows.filter("bucket is not null").withColumn("_b", F.pmod(number, F.lit(SLICES)))
     full = gapless_rank(full, ["bucket"], "_b", [F.col("doc_id"), F.col("piece"), F.col("n_tokens")], "_r")
     size = F.floor(F.lit(budget) / F.col("bucket_len")).cast("long")
     full = full.withColumn("batch", F.floor(F.col("_r") / size).cast("long")).withColumn("position", (F.col("_r") % size).cast("int"))

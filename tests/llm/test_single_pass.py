@@ -146,6 +146,13 @@ def test_markup():
     assert text_of(page) == "A & B\n\none two three\n\nfour <x> éA\n\nx\n\ny"
 
 
+def test_regions():
+    assert text_of("<body class='no-sidebar'><div class='has-sidebar'><main><p>crumbs</p><article class='post'><p>x</p><article class='comment'><p>c</p></article></article></main></div>") == "x"
+    assert text_of("<main><p>a</p><div id='site-nav'>n</div><p>b</p></main><p>out</p>") == "a\n\nb"
+    assert text_of("<div role='main'><p>a</p></div><p>out</p>") == "a"
+    assert text_of("<article><div class='cookie-notice'>c</div><p>a</p><p hidden>h</p></article>") == "a"
+
+
 def test_shared_lines_go_where_the_markup_says_nothing():
     a = "<body><div>Site</div><div>Menu</div><p>Own story</p><p>More</p><div>Imprint</div>"
     b = "<body><div>Site</div><div>Menu</div><p>Other story</p><div>Imprint</div>"
