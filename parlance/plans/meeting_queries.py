@@ -101,13 +101,13 @@ def task_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT task_id, arg_max(status, (conf::INT, (conf AND dir)::INT, pos)) AS status, arg_max(pos, (conf::INT, (conf AND dir)::INT, pos)) AS deciding_pos, arg_max({{'d': dl, 'h': has}}, (conf::INT, (conf AND dir)::INT, pos)) AS own,
 arg_max({{'d': dl}}, CASE WHEN has THEN pos END) AS lst, count(DISTINCT CASE WHEN conf THEN status END) AS ns, count(*) AS nu FROM v GROUP BY 1),
 r AS (SELECT o_orderkey AS task_id, o_orderdate::DATE + 60 AS due, coalesce(status, 'not_reported') AS status, deciding_pos, CASE WHEN own.h THEN own.d ELSE lst.d END AS new_due, coalesce(nu, 0) AS n_updates, coalesce(status = 'done' AND ns >= 2, false) AS conflict FROM orders LEFT JOIN g ON o_orderkey = task_id)
-SELECT * REPLACE (due::VARCHAR AS due, new_due::VARCHAR AS new_due), coalesce(new_due, due) < DATE '1998-06-01' AND status <> 'done' AS overdue FROM r"""
+SELECT * REPLACE (due::VARCHAR AS due, new_due::VARCHAR AS new_due, coalesce(deciding_pos, -1) AS deciding_pos), coalesce(new_due, due) < DATE '1998-06-01' AND status <> 'done' AS overdue FROM r"""
 )
 def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a task of the agenda, with what its line items report."""
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.date_add(F.col("o_orderdate").cast("date"), 60).alias("due"), F.lit("1998-06-01").cast("date").alias("meeting_date"))
     out = progress.task_progress(tasks, task_updates(spark, sf_dir))
-    return out.withColumn("due", F.col("due").cast("string")).withColumn("new_due", F.col("new_due").cast("string"))
+    return out.withColumn("due", F.col("due").cast("string")).withColumn("new_due", F.col("new_due").cast("string")).withColumn("deciding_pos", F.coalesce("deciding_pos", F.lit(-1)))
 
 
 @query(
@@ -191,6 +191,9 @@ def merged_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scoring --------------------------------------------------------------------------------------
 
 
+ALIKE = 0.02  # invented texts have few words in common
+
+
 def scored_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A conversation's assistant turns as predictions, its user turns as gold."""
     rows = conversation_turns(spark, sf_dir).select("meeting_id", "turn_no", "speaker", tx.syllables(F.col("text_exact"), STOP).alias("words"), F.array("turn_no").alias("turns"))
@@ -205,34 +208,34 @@ w AS (SELECT meeting_id, turn_no, speaker, list_distinct(list_filter(regexp_extr
 pr AS (SELECT p.meeting_id, p.turn_no AS pred_id, g.turn_no AS gold_id, CASE WHEN len(p.ws) = 0 OR len(g.ws) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(p.ws, g.ws)) / (len(p.ws) + len(g.ws)) END::DOUBLE AS score FROM w p JOIN w g ON p.meeting_id = g.meeting_id AND abs(p.turn_no - g.turn_no) <= 1 WHERE p.speaker = 'assistant' AND g.speaker = 'user')"""
 
 
-@query(f"WITH {PAIRS} SELECT * FROM pr WHERE score >= 0.15")
+@query(f"WITH {PAIRS} SELECT * FROM pr WHERE score >= 0.02")
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions near gold items with words in common."""
-    return scoring.pairs_in_window(*scored_turns(spark, sf_dir))
+    return scoring.pairs_in_window(*scored_turns(spark, sf_dir), least=ALIKE)
 
 
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions matched to gold one to one, the best score first."""
-    return scoring.greedy_match(scoring.pairs_in_window(*scored_turns(spark, sf_dir)))
+    return scoring.greedy_match(scoring.pairs_in_window(*scored_turns(spark, sf_dir), least=ALIKE))
 
 
 @query()
 def trap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unmatched predictions that fall into traps, made of the turns before."""
     pred, gold = scored_turns(spark, sf_dir)
-    matched = scoring.greedy_match(scoring.pairs_in_window(pred, gold))
+    matched = scoring.greedy_match(scoring.pairs_in_window(pred, gold, least=ALIKE))
     traps = gold.select("meeting_id", F.col("gold_id").alias("trap_id"), F.when(F.col("gold_id") % 2 == 0, "unassigned_task").otherwise("rejected_task").alias("kind"), "turns", "words")
-    return scoring.trapped(pred, matched, traps)
+    return scoring.trapped(pred, matched, traps, least=ALIKE)
 
 
-@query(f"WITH {PAIRS} SELECT meeting_id, turn_no AS point_id, EXISTS (SELECT 1 FROM pr WHERE pr.meeting_id = w.meeting_id AND pr.gold_id = w.turn_no AND score >= 0.15) AS covered FROM w WHERE speaker = 'user'")
+@query(f"WITH {PAIRS} SELECT meeting_id, turn_no AS point_id, EXISTS (SELECT 1 FROM pr WHERE pr.meeting_id = w.meeting_id AND pr.gold_id = w.turn_no AND score >= 0.02) AS covered FROM w WHERE speaker = 'user'")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which key points some discussion point covers; all are by one speaker."""
     pred, gold = scored_turns(spark, sf_dir)
     points = gold.select("meeting_id", F.col("gold_id").alias("point_id"), F.lit("x").alias("speaker"), "turns", "words")
     said = pred.select("meeting_id", F.col("pred_id").alias("discussion_id"), F.array(F.lit("x")).alias("speakers"), "turns", "words")
-    return scoring.covered(points, said).select("meeting_id", "point_id", "covered")
+    return scoring.covered(points, said, least=ALIKE).select("meeting_id", "point_id", "covered")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
