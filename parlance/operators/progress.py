@@ -61,10 +61,10 @@ def check_status(updates: DataFrame, judged: DataFrame) -> DataFrame:
     that confirms the status keeps it; else a clear other label of the first turn revises it; else
     a report may stay under a generic question; else it falls to ``mentioned``.
     """
-    p = F.coalesce(F.try_element_at("labels", "status"), F.lit(0.0))
-    rows = judged.join(updates, "update_id")
+    p = F.coalesce(F.try_element_at("labels", F.col("status")), F.lit(0.0))
+    rows = judged.join(updates.select("update_id", "status", "generic_question"), "update_id")
     any_report = F.aggregate(F.map_values(F.map_filter("labels", lambda k, v: k.isin(*REPORTS))), F.lit(0.0), lambda s, x: s + x)
-    other = F.map_filter("labels", lambda k, v: (v >= CLEAR) & (k != F.col("status")) & (k != "mentioned") & ~(F.col("generic_question") & k.isin(*REPORTS) & F.col("status").isin(*REPORTS)))
+    other = F.map_filter("labels", lambda k, v: (v >= CLEAR) & (k != F.col("status")) & k.isin(*REPORTS) & ~(F.col("generic_question") & F.col("status").isin(*REPORTS)))
     rows = rows.withColumn("_ok", p >= CLEAR).withColumn("_other", F.get(F.map_keys(other), F.lit(0))).withColumn("_report", any_report)
     first = F.struct("turn_rank", "_other", "_report")
     agg = rows.groupBy("update_id").agg(
@@ -78,6 +78,17 @@ def check_status(updates: DataFrame, judged: DataFrame) -> DataFrame:
     return out.withColumn("flag", flag).withColumn("checked_status", status).withColumn("status_pos", F.when(flag == "confirmed", F.col("_okpos"))).drop("_okpos", "_any", "_f", "_failed", "_okrank")
 
 
+def candidate_turns(updates: DataFrame, turns: DataFrame) -> DataFrame:
+    """(update_id, turn_rank, pos, text) of the turns that may confirm an update: its status turn, then its evidence's from the latest.
+
+    ``updates``: meeting_id, update_id, status_turn_id, turn_ids.
+    """
+    named = updates.select("meeting_id", "update_id", "status_turn_id", F.explode(F.array_distinct(F.filter(F.concat(F.array("status_turn_id"), "turn_ids"), lambda t: t.isNotNull()))).alias("turn_id"))
+    rows = named.join(turns.select("meeting_id", "turn_id", F.col("turn_no").alias("pos"), F.col("text_exact").alias("text")), ["meeting_id", "turn_id"])
+    w = Window.partitionBy("meeting_id", "update_id").orderBy(F.coalesce(F.col("turn_id") == F.col("status_turn_id"), F.lit(False)).desc(), F.desc("pos"))
+    return rows.select("update_id", (F.row_number().over(w) - 1).alias("turn_rank"), "pos", "text")
+
+
 def check_mentions(updates: DataFrame, judged: DataFrame) -> DataFrame:
     """Mentioned updates (update_id, status) by their evidence turns' labels: dropped, raised to a report or directive, or kept.
 
@@ -103,10 +114,10 @@ def merge_same_task(updates: DataFrame) -> DataFrame:
     return agg.select(*keys, "b.update_no", "b.status", "b.pos", F.array_distinct(F.concat(F.col("b.evidence_ids"), rest)).alias("evidence_ids"))
 
 
-def task_progress(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+def task_progress(tasks: DataFrame, updates: DataFrame, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
     """Every task of the agenda with what the meeting says of it.
 
-    ``tasks``: task_id, due, meeting_date. ``updates``: task_id, pos, status, uncertain,
+    ``tasks``: the keys, due, meeting_date. ``updates``: the keys, pos, status, uncertain,
     is_directive, deadline, deadline_removed. The latest directive wins, else the latest confirmed
     update, else the latest; so for the deadline. A task is in conflict when it is done and
     confirmed updates differ.
@@ -114,7 +125,7 @@ def task_progress(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     confirmed = (F.col("status") != "mentioned") & ~F.col("uncertain")
     has_date = F.col("deadline").isNotNull() | F.col("deadline_removed")
     rank = F.struct(confirmed.cast("int"), (confirmed & F.col("is_directive")).cast("int"), "pos")
-    agg = updates.groupBy("task_id").agg(
+    agg = updates.groupBy(*keys).agg(
         F.max_by("status", rank).alias("status"),
         F.max_by("pos", rank).alias("deciding_pos"),
         F.max_by(F.struct("deadline", has_date.alias("has")), rank).alias("_own"),
@@ -122,11 +133,11 @@ def task_progress(tasks: DataFrame, updates: DataFrame) -> DataFrame:
         F.count_distinct(F.when(confirmed, F.col("status"))).alias("n_statuses"),
         F.count(F.lit(1)).alias("n_updates"),
     )
-    rows = tasks.join(agg, "task_id", "left")
+    rows = tasks.join(agg, list(keys), "left")
     new_due = F.when(F.coalesce(F.col("_own.has"), F.lit(False)), F.col("_own.deadline")).otherwise(F.col("_last.deadline"))
     status = F.coalesce("status", F.lit("not_reported"))
     return rows.select(
-        "task_id", "due", status.alias("status"), "deciding_pos", new_due.alias("new_due"), F.coalesce("n_updates", F.lit(0)).alias("n_updates"),
+        *keys, "due", status.alias("status"), "deciding_pos", new_due.alias("new_due"), F.coalesce("n_updates", F.lit(0)).alias("n_updates"),
         (F.coalesce(F.col("status") == "done", F.lit(False)) & (F.col("n_statuses") >= 2)).alias("conflict"), is_overdue(F.coalesce(new_due, F.col("due")), F.col("meeting_date"), status).alias("overdue"),
     )
 

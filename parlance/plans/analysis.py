@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import grouping_key
+from parlance.functions.text import grouping_key, name_key
 from parlance.operators import actors, documents, extraction, ports, progress
 from parlance.operators.verifier import verified
 from parlance.sources.shared import written
@@ -30,6 +30,9 @@ class Report:
     records: DataFrame
     failures: DataFrame
     content: DataFrame
+    decided: DataFrame
+    tasks: DataFrame | None
+    progress: DataFrame | None
     coverage: DataFrame
 
 
@@ -57,6 +60,8 @@ def analyze(
 ) -> Report:
     """``turns`` as ``transcripts.turns`` gives them; ``segments``: meeting_id, segment_id, segment_no, turn_lo, turn_hi.
 
+    ``tasks``, the agenda if there is one: meeting_id, task_id, task_no, title, owner and support
+    (names and ids as ``payloads.parse_agendas`` gives them), due. Without it there is no progress.
     ``keep`` holds a table between stages; by default it is written to the shared folder and read again.
     """
     prompts = keep(extraction.topic_prompts(segments, turns))
@@ -89,7 +94,7 @@ def analyze(
     decisions = keep(progress.merge_decisions(kept.select("meeting_id", place, "segment_id", "row_id", "text", F.col("item_ids").alias("evidence_ids"))))
     mine = settled(acted, "a").join(order, ["meeting_id", "segment_id"])
     mine = progress.merge_assignments(
-        mine.select("meeting_id", place, "segment_id", "row_id", F.coalesce(grouping_key(F.col("actor")), F.lit("")).alias("actor_key"), "actor", "task_id", "text", F.col("deadline_date").cast("string").alias("deadline"), F.col("item_ids").alias("evidence_ids"))
+        mine.select("meeting_id", place, "segment_id", "row_id", F.coalesce(grouping_key(F.col("actor")), F.lit("")).alias("actor_key"), "actor", "status", "task_id", "text", F.col("deadline_date").cast("string").alias("deadline"), F.col("item_ids").alias("evidence_ids"))
     )
     mine = keep(mine)
     mentions = mine.select("meeting_id", F.col("row_id").alias("mention_id"), F.col("actor").alias("mention"))
@@ -104,4 +109,52 @@ def analyze(
     content = documents.content_data(order, labels, shown)
     sizes = segments.select("meeting_id", "segment_id", F.explode(F.sequence(F.col("turn_lo").cast("bigint"), F.col("turn_hi").cast("bigint"))).alias("turn_no")).join(turns.select("meeting_id", F.col("turn_no").cast("bigint").alias("turn_no"), F.greatest(F.size("source_items"), F.lit(1)).alias("n")), ["meeting_id", "turn_no"])
     covered = documents.coverage(sizes.groupBy("meeting_id", "segment_id").agg(F.sum("n").alias("n_items")), failures)
-    return Report(labels, points, assignments, decisions, records, failures, content, covered)
+    quoted = documents.cited(decisions.select("meeting_id", F.col("row_id").alias("owner_id"), F.col("evidence_ids").alias("item_ids")), items).withColumnRenamed("owner_id", "row_id")
+    told = decisions.join(quoted, ["meeting_id", "row_id"], "left").select("meeting_id", "segment_id", "pos", F.col("row_id").alias("decision_id"), "text", "citations")
+    by_topic = documents.decisions_data(told, order)
+    if tasks is None:
+        return Report(labels, points, assignments, decisions, records, failures, content, by_topic, None, None, covered)
+
+    rolled, lost = task_reports(prompts, turns, order, tasks, meeting_date, make, make_judge, keep)
+    related = with_relation(assignments, tasks)
+    moved = progress.latest_by_task(related.filter(F.col("relation").isin("reassign", "reschedule"))).select("meeting_id", "task_id", "relation", F.col("deadline").cast("date").alias("due"), F.array("assignee").alias("assignees"))
+    fresh = related.filter(~F.col("relation").isin("reassign", "reschedule")).select("meeting_id", F.col("row_id").alias("task_id"), "pos", "text", F.array("assignee").alias("assignees"), F.col("deadline").cast("date").alias("due"))
+    backlog = tasks.select("meeting_id", "task_id", "task_no", "title").join(rolled.select("meeting_id", "task_id", "status", F.coalesce("new_due", "due").alias("due")), ["meeting_id", "task_id"])
+    return Report(labels, points, keep(related), decisions, records, failures.unionByName(lost), content, by_topic, documents.tasks_data(fresh, backlog, moved), rolled, covered)
+
+
+def with_relation(assignments: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Assignments with how each relates to the agenda; the task id of a new one is cleared."""
+    parties = F.filter(F.array_union(F.array("owner.name"), F.transform(F.coalesce("support", F.array()), lambda x: x["name"])), lambda n: n.isNotNull())
+    known = tasks.select("meeting_id", "task_id", F.col("due").alias("_due"), F.transform(parties, lambda n: name_key(n)).alias("_parties"), F.lit(True).alias("_known"))
+    rows = assignments.join(known, ["meeting_id", "task_id"], "left")
+    mine = F.filter(F.array(name_key(F.col("assignee"))), lambda n: n.isNotNull())
+    rel = progress.relation(F.lit(True), F.col("_known"), F.col("status"), mine, F.coalesce("_parties", F.array().cast("array<string>")), F.col("deadline").cast("date"), F.col("_due"))
+    return rows.withColumn("relation", rel).withColumn("task_id", F.when(F.col("relation") != "new", F.col("task_id"))).drop("_due", "_parties", "_known")
+
+
+def task_reports(prompts: DataFrame, turns: DataFrame, order: DataFrame, tasks: DataFrame, meeting_date: Column, make: Callable[[], ports.LLM], make_judge: Callable[[], ports.Judge] | None, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Every task of the agenda with what the meeting reports of it, and the failed calls.
+
+    With a judge, a status must be confirmed by a turn, and mentions are dropped or raised by what
+    their turns are; without one, a status without a turn of its own is only a mention.
+    """
+    found, failures = map(keep, extraction.answers(prompts, "progress", "progress", make))
+    rows = extraction.updates(found, turns, tasks, meeting_date)
+    rows = keep(rows.withColumn("update_id", F.concat_ws("/", "meeting_id", "row_id")).withColumn("generic_question", F.lit(True)))
+    if make_judge is None:
+        alone = F.col("status_turn_id").isNull() & (F.col("status") != "mentioned")
+        rows = rows.withColumn("checked_status", F.when(alone, "mentioned").otherwise(F.col("status"))).withColumn("flag", F.when(alone, "uncertain").otherwise("unchecked"))
+    else:
+        judged = ports.judge(progress.candidate_turns(rows, turns), "text", make_judge)
+        judged = keep(judged.select("update_id", "turn_rank", "pos", F.coalesce("labels", F.create_map().cast("map<string,double>")).alias("labels"), F.col("labels_failed").alias("failed"), F.try_element_at("labels", F.lit("commit")).alias("p_commit")))
+        stated = progress.check_status(rows.filter("status <> 'mentioned'"), judged).drop("status_pos")
+        mentioned = progress.check_mentions(rows.filter("status = 'mentioned'"), judged.drop("failed"))
+        rows = stated.unionByName(mentioned)
+    last = turns.select("meeting_id", F.col("turn_id").alias("_t"), "turn_no")
+    place = rows.select("meeting_id", "update_id", F.explode("turn_ids").alias("_t")).join(last, ["meeting_id", "_t"]).groupBy("meeting_id", "update_id").agg(F.max("turn_no").alias("pos_turn"))
+    rows = rows.join(place, ["meeting_id", "update_id"], "left").join(order, ["meeting_id", "segment_id"])
+    pos = F.coalesce("pos_turn", F.lit(0)).cast("bigint") * 1_000_000 + F.col("segment_no") * 1_000 + F.col("pos")
+    said = rows.select("meeting_id", "task_id", pos.alias("pos"), F.when(F.col("checked_status") == "directive", "mentioned").otherwise(F.col("checked_status")).alias("status"), (F.col("flag") == "uncertain").alias("uncertain"), F.col("directive").isNotNull().alias("is_directive"), F.col("deadline_date").alias("deadline"), "deadline_removed")
+    agenda = tasks.select("meeting_id", "task_id", "due", meeting_date.cast("date").alias("meeting_date"))
+    return keep(progress.task_progress(agenda, said, ("meeting_id", "task_id"))), failures

@@ -174,3 +174,29 @@ def test_streamed_windows_are_those_of_the_table(spark, tables, tmp_path):
     q.stop()
     table = {(r.window_start, r.event_type): r.n_events for r in st.windowed_counts(events).collect()}
     assert {(r.window_start, r.event_type): r.n_events for r in spark.sql("SELECT * FROM windows").collect()} == table
+
+
+def test_progress_and_the_three_documents(spark):
+    turns, segments = meeting(spark)
+    people = spark.createDataFrame([("m", "P1", "Trần Hà", None)], "meeting_id string, ref_id string, full_name string, org_id string")
+    orgs = spark.createDataFrame([], "meeting_id string, ref_id string, name string, aliases array<string>, functions array<string>")
+    party = "struct<name: string, ref_id: string>"
+    tasks = spark.createDataFrame(
+        [("m", "T9", 0, "the report", ("Lê An", None), [], None), ("m", "T8", 1, "other", None, [], None)],
+        f"meeting_id string, task_id string, task_no int, title string, owner {party}, support array<{party}>, due date",
+    )
+
+    class Reporting(BySystem):
+        def generate_json(self, system, user, schema):
+            if system == "progress":
+                return {"updates": [{"task_id": "T9", "status": "done", "status_turn_id": "TURN_000002", "evidence_segment_ids": ["1"], "deadline": "ngày mai"}, {"task_id": "T7", "status": "done", "evidence_segment_ids": ["1"]}]}
+            return super().generate_json(system, user, schema)
+
+    for judge, status in ((None, "done"), (lambda: ports.CueJudge({"unrelated": ["due"], "commit": ["agree"]}), "mentioned")):
+        r = analyze(turns, segments, people, orgs, F.lit("2026-10-08"), Reporting, judge, ["agree"], ["maybe"], tasks)
+        got = {x.task_id: x for x in r.progress.collect()}
+        assert (got["T9"].status, str(got["T9"].new_due), got["T8"].status) == (status, "2026-10-09", "not_reported")
+    doc = r.tasks.first()
+    assert [(b.task_id, b.relation, b.moved_to) for b in doc.backlog] == [("T9", "reassign", ["Trần Hà"]), ("T8", None, None)]
+    assert [t.text for t in doc.new_tasks] == ["check the report"]
+    assert [d.text for d in r.decided.first().groups[0].decisions] == ["Take the plan", "Maybe later"]
