@@ -39,20 +39,35 @@ def clean(text: str | None) -> str:
 
 
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of feature counts, and the number of trigrams, for each cleaned text."""
+    """A row of feature counts, and the number of trigrams, for each cleaned text; a million bytes at a time."""
     data = [t.encode("utf-8", "replace") for t in texts]
-    raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
-    size = np.array([len(x) for x in data], np.int64)
-    row = np.repeat(np.arange(len(data)), size)
-    if len(raw) < 3:
-        return np.zeros((len(data), DIMS), np.float32), np.zeros(len(data))
-    gram = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-    ok = row[:-2] == row[2:]
-    feature = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)).astype(np.int64)
-    n = np.bincount((row[:-2] * DIMS + feature)[ok], minlength=len(data) * DIMS).reshape(len(data), DIMS).astype(np.float32)
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    ends = np.cumsum([len(x) for x in data])
+    n = np.zeros(len(data) * DIMS, np.float32)
+    for lo in range(0, max(0, len(raw) - 2), 1 << 20):
+        part = raw[lo : lo + (1 << 20) + 2].astype(np.uint32)
+        gram = part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+        at = np.arange(lo, lo + len(gram))
+        row = np.searchsorted(ends, at, "right")
+        inside = at + 2 < ends[row]
+        feature = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)).astype(np.int64)
+        n += np.bincount((row * DIMS + feature)[inside], minlength=len(n))
+    n = n.reshape(len(data), DIMS)
     return n, n.sum(1)
 
 
+def few(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of at most 64 texts and about half a million characters; a longer text stands alone."""
+    lo = size = 0
+    for hi, t in enumerate(texts):
+        if hi > lo and (hi - lo == 64 or size + len(t or "") > 500_000):
+            yield lo, hi
+            lo, size = hi, 0
+        size += len(t or "")
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def vectors(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF rows, with a logarithm of the counts; zero rows stay zero."""
     v = np.log1p(n) * idf
@@ -82,6 +97,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     Rows with a null text or language, or without letters, teach nothing. The bounded sample, and
     one count per language (at most 256 languages), is all that reaches the driver, as feature counts.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null and t rlike '\\\\p{L}'")
     n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
     if not n:
@@ -96,10 +112,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, texts = b.column("l").to_pylist(), b.column("t").to_pylist()
-            for lo in range(0, len(texts), 128):
-                c, _ = counts([clean(t) for t in texts[lo : lo + 128]])
+            for lo, hi in few(texts):
+                c, _ = counts([clean(t) for t in texts[lo:hi]])
                 where = [np.flatnonzero(x) for x in c]
-                yield pa.record_batch([pa.array(langs[lo : lo + 128]), pa.array([w.astype(np.int32).tobytes() for w in where], pa.binary()), pa.array([x[w].tobytes() for x, w in zip(c, where, strict=True)], pa.binary())], names=["l", "f", "c"])
+                yield pa.record_batch([pa.array(langs[lo:hi], pa.string()), pa.array([w.astype(np.int32).tobytes() for w in where], pa.binary()), pa.array([x[w].tobytes() for x, w in zip(c, where, strict=True)], pa.binary())], names=["l", "f", "c"])
 
     got = sorted((r["l"], bytes(r["f"]), bytes(r["c"])) for r in rows.mapInArrow(features, "l string, f binary, c binary").collect())
     dense = np.zeros((len(got), DIMS), np.float32)
@@ -141,12 +157,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             pred, score, out = [], [], []
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and hi - lo < 256 and size < 2_000_000:
-                    size += len(texts[hi] or "")
-                    hi += 1
+            for lo, hi in few(texts):
                 cleaned = [clean(t) for t in texts[lo:hi]]
                 n, total = counts(cleaned)
                 if len(model.centroids):
@@ -159,7 +170,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 pred += list(names[at])
                 score += top.tolist()
                 out += (none | (at < 0) | (top < model.floor[np.log2(np.maximum(total, 1)).astype(int)])).tolist()
-                lo = hi
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=[*b.schema.names, "lang_pred", "score", "rejected"])
 
     return keep.mapInArrow(run, schema)
