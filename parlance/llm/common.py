@@ -8,7 +8,6 @@ n * n / 2**65.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,20 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# --- tables in the shared folder -----------------------------------------------------------
-
+from parlance.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
-            found = jsc.getCheckpointDir()
-        where = found.get()
-    return where.rstrip("/")
+# --- tables in the shared folder -----------------------------------------------------------
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
