@@ -47,7 +47,9 @@ def candidates(mentions: DataFrame, people: DataFrame, organizations: DataFrame)
     o = organizations.select("meeting_id", "ref_id", "name", F.coalesce("functions", F.array().cast("array<string>")).alias("terms"), F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("_n"))
     o = o.withColumn("_key", name_key(F.col("_n")))
     exact = m.join(o.withColumnRenamed("_key", "_alias"), ["meeting_id", "_alias"]).withColumn("score", F.lit(FULL))
-    within = m.filter(F.col("_alias").contains(" ")).join(o.drop("_n"), "meeting_id").filter((F.col("_key") != F.col("_alias")) & (F.col("_key").contains(F.col("_alias")) | (F.col("_key").contains(" ") & F.col("_alias").contains(F.col("_key")))))
+    asked = m.select("meeting_id", "_alias").filter(F.col("_alias").contains(" ")).distinct()  # each once, however often it is said
+    inside = (F.col("_key") != F.col("_alias")) & (F.col("_key").contains(F.col("_alias")) | (F.col("_key").contains(" ") & F.col("_alias").contains(F.col("_key"))))
+    within = m.join(asked.join(o.drop("_n"), "meeting_id").filter(inside), ["meeting_id", "_alias"])
     orgs = exact.drop("_n").unionByName(within.drop("_key").withColumn("score", F.lit(PARTIAL_ORG))).withColumn("kind", F.lit("organization"))
     names = ["meeting_id", "mention_id", "mention", "ref_id", "name", "kind", "score", "terms"]
     listed = persons.select(*names).unionByName(orgs.select(*names))
