@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can express neither the classifier nor the signatures; tests/llm has the pipeline by brute force.
+#: SQL can express neither the classifier nor the signatures; tests/llm checks what each stage leaves.
 ORACLE_SQL = None
 
 
