@@ -3,7 +3,8 @@
 Fixed masks pick some of the words at a place and ignore the others, so a seed survives the
 substitution of an ignored word. The seeds of the benchmark are joined with those at every place
 of every document; around a hit the item is laid over the document on the hit's diagonal and the
-best stretch of agreeing words is measured, substitutions included.
+stretch with the most agreeing words of those that are alike enough is measured, substitutions
+included.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, however large it is;
 the documents are never shuffled.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -89,17 +91,26 @@ def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block
         yield build([x for x, _ in got], [t for _, t in got])
 
 
-def stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and matches of the best stretch, a match counting 1 and a mismatch -2 (Kadane)."""
-    best = (0.0, 0, 0)
-    score, lo = 0.0, 0
-    for i, ok in enumerate(same.tolist()):
-        score += 1.0 if ok else -2.0
-        if score <= 0:
-            score, lo = 0.0, i + 1
-        elif score > best[0]:
-            best = (score, lo, i + 1)
-    return best[1], best[2], int(same[best[1] : best[2]].sum())
+def stretch(same: np.ndarray, identity: float = IDENTITY) -> tuple[int, int, int]:
+    """Start, end and matches of the stretch with the most matches of all whose matches are ``identity`` of it.
+
+    Prefix sums weigh a match by 1 - identity and a mismatch by -identity; for each end the first
+    start whose sum is no higher gives the most matches. Mismatches at its ends are left out; of
+    equals the shortest counts, then the first.
+    """
+    share = Fraction(str(identity))
+    n, seen = len(same), np.concatenate([[0], np.cumsum(same)])
+    sums = seen * share.denominator - np.arange(n + 1) * share.numerator
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    matches = seen - seen[start]
+    most = int(matches.max())
+    if not most:
+        return 0, 0, 0
+    at = np.flatnonzero(same)
+    end = np.flatnonzero(matches == most)
+    first, last = at[seen[start[end]]], at[seen[end] - 1] + 1
+    best = int((last - first).argmin())
+    return int(first[best]), int(last[best]), most
 
 
 def overlaps(texts: pa.Array, block: Block, min_match: int = MIN_MATCH, identity: float = IDENTITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -127,7 +138,7 @@ def overlaps(texts: pa.Array, block: Block, min_match: int = MIN_MATCH, identity
     item = np.searchsorted(block.offs, place, "right") - 1
     first = at - (place - block.offs[item])  # the document's place under the item's first word
     cases = np.unique(np.stack([row, item, first]), axis=1)
-    size = np.diff(block.offs)
+    size, share = np.diff(block.offs), Fraction(str(identity))
     for lo in range(0, cases.shape[1], 20_000):
         r, m, f = cases[:, lo : lo + 20_000]
         n = size[m]
@@ -137,10 +148,10 @@ def overlaps(texts: pa.Array, block: Block, min_match: int = MIN_MATCH, identity
         same = inside & (word[np.clip(where, 0, len(word) - 1)] == block.word[np.repeat(block.offs[m], n) + k])
         ends = np.cumsum(n)
         total = np.add.reduceat(same, ends - n)
-        need = np.minimum(min_match, np.ceil(identity * n)).astype(int)
+        need = np.minimum(min_match, -(-n * share.numerator // share.denominator))
         for c in np.flatnonzero(total >= need):
-            a, b, matches = stretch(same[ends[c] - n[c] : ends[c]])
-            if matches >= need[c] and matches >= identity * (b - a):
+            a, b, matches = stretch(same[ends[c] - n[c] : ends[c]], identity)
+            if matches >= need[c]:
                 case = (int(r[c]), int(m[c]))
                 if case not in found or found[case][2] < matches:
                     found[case] = (int(f[c] - offs[r[c]]) + a, b - a, matches)

@@ -87,6 +87,30 @@ def test_blocks_of_the_benchmark_give_the_same(spark):
     assert found == {(i, i) for i in range(12)}
 
 
+def best_stretch(same, need):
+    """The most matches of any window with ``need`` matches that are 0.8 of it."""
+    n, sums = len(same), [0, *itertools.accumulate(same)]
+    return max((m for a in range(n) for b in range(a + 1, n + 1) if (m := sums[b] - sums[a]) >= need and 5 * m >= 4 * (b - a)), default=0)
+
+
+def test_stretches_are_the_best_of_all_windows():
+    rng = random.Random(6)
+    for k in range(2000):
+        same = [rng.random() < (0.5, 0.7, 0.8, 0.9)[k % 4] for _ in range(rng.randint(1, 45))]
+        a, b, matches = decontamination.stretch(np.array(same))
+        assert matches == best_stretch(same, 1) == sum(same[a:b]) and 5 * matches >= 4 * (b - a)
+        assert not matches or same[a] and same[b - 1]
+
+
+def test_every_substitution_that_the_rule_allows_is_found():
+    for n, subs in ((11, 2), (12, 2), (14, 1), (15, 3), (16, 3), (20, 4)):
+        block = decontamination.build([1], [" ".join(f"w{k}" for k in range(n))])
+        ways = list(itertools.combinations(range(n), subs))
+        texts = [" ".join("zz" if k in set(s) else f"w{k}" for k in range(n)) for s in ways]
+        found = {r for r, *_ in decontamination.overlaps(pa.array(texts), block)}
+        assert len(found) == len(ways), n
+
+
 # --- personal data ------------------------------------------------------------------------------------
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
