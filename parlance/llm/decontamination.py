@@ -27,6 +27,9 @@ from parlance.llm.common import U, chunks, mix, ragged, small_batches, utf8, wor
 # Together these masks hit every 13 words of which any two are substituted, and
 # 99 of 100 ways to substitute three (tests/llm).
 MASKS = ((0, 1, 3, 4, 5), (0, 2, 3, 4, 7), (0, 2, 3, 4, 6), (0, 4, 5, 6, 7))
+# They hit every stretch that the default rule allows in items of 8, 9 and 11 or more words, and
+# the short ones in items of 4 to 10; 3 words or fewer must agree as a whole.
+SHORT, SHORT_WORDS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4)), 10
 MIN_MATCH, IDENTITY, BLOCK_WORDS = 13, 0.8, 1_000_000
 
 _SPACE = np.ones(256, bool)
@@ -41,7 +44,7 @@ class Block:
     ids: np.ndarray
     offs: np.ndarray
     word: np.ndarray
-    seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # sorted hashes, places, filter
+    seeds: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]  # mask, sorted hashes, places, filter
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,14 +71,18 @@ def spaced(word: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 def build(ids: list[int], texts: list[str | None]) -> Block:
     word, offs = tokens(pa.array(texts, pa.string()))
     row = np.repeat(np.arange(len(ids)), np.diff(offs))
+    size = np.diff(offs)[row]
+    whole = [((*range(n),), size == n) for n in (1, 2, 3)]
     seeds = []
-    for mask in MASKS:
+    for mask, use in [*whole, *((m, (size > 3) & (size <= SHORT_WORDS)) for m in SHORT), *((m, size > SHORT_WORDS) for m in MASKS)]:
         h = spaced(word, mask)
-        at = np.flatnonzero(row[: len(h)] == row[mask[-1] :][: len(h)])
+        at = np.flatnonzero(use[: len(h)] & (row[: len(h)] == row[mask[-1] :][: len(h)]))
+        if not len(at):
+            continue
         order = at[np.argsort(h[at], kind="stable")]
         there = np.zeros(1 << _BITS, bool)
         there[(h[order] >> U(64 - _BITS)).astype(np.int64)] = True
-        seeds.append((h[order], order, there))
+        seeds.append((mask, h[order], order, there))
     return Block(np.array(ids, np.int64), offs, word, seeds)
 
 
@@ -124,7 +131,7 @@ def overlaps(texts: pa.Array, block: Block, min_match: int = MIN_MATCH, identity
     if not len(word) or not len(block.word):
         return []
     pairs = []
-    for mask, (keys, places, there) in zip(MASKS, block.seeds, strict=True):
+    for mask, keys, places, there in block.seeds:
         h = spaced(word, mask)
         at = np.flatnonzero(there[(h >> U(64 - _BITS)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
         lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
@@ -150,6 +157,8 @@ def overlaps(texts: pa.Array, block: Block, min_match: int = MIN_MATCH, identity
         total = np.add.reduceat(same, ends - n)
         need = np.minimum(min_match, -(-n * share.numerator // share.denominator))
         for c in np.flatnonzero(total >= need):
+            if found.get((int(r[c]), int(m[c])), (0, 0, 0))[2] >= total[c]:
+                continue
             a, b, matches = stretch(same[ends[c] - n[c] : ends[c]], identity)
             if matches >= need[c]:
                 case = (int(r[c]), int(m[c]))

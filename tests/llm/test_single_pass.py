@@ -111,6 +111,17 @@ def test_every_substitution_that_the_rule_allows_is_found():
         assert len(found) == len(ways), n
 
 
+def test_short_items_are_found():
+    for n in range(1, 11):
+        block = decontamination.build([1], [" ".join(f"w{k}" for k in range(n))])
+        for gone in range(n - -(-4 * n // 5) + 1):
+            ways = list(itertools.combinations(range(n), gone))
+            texts = [" ".join(["x"] * 3 + ["zz" if k in s else f"w{k}" for k in range(n)] + ["y"] * 9) for s in ways]
+            want = {i for i, s in enumerate(ways) if best_stretch([k not in s for k in range(n)], -(-4 * n // 5))}
+            assert {r for r, *_ in decontamination.overlaps(pa.array(texts), block)} == want == set(range(len(ways))), (n, gone)
+        assert not decontamination.overlaps(pa.array(["x y z", "", None]), block)
+
+
 # --- personal data ------------------------------------------------------------------------------------
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
