@@ -1,13 +1,15 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Patterns find the protected entities (e-mail addresses, IP addresses, card and phone numbers).
-The words around each mention are its context; over the whole corpus a word position lies in the
-context of an entity ``e`` with probability p(e), is the term ``t`` with p(t), and both with p(e, t).
-A term reveals an entity as strongly as their pointwise mutual information says, which is at most
-the entity's own information content ``IC(e) = -log p(e)``. In the contexts of an entity, terms
-with ``PMI(e, t) >= IC(e) / generalise`` are generalised, and those that come near to IC(e)
-itself (``IC(e) / remove``) are removed. A term must have stood by the entity in ``support``
-different contexts, so that copies of one passage are no evidence.
+The documents that mention an entity are its context, copies of one document being one; over the
+whole corpus a word position lies in the context of an entity ``e`` with probability p(e), is the
+term ``t`` with p(t), and both with p(e, t). A term reveals an entity as strongly as their
+pointwise mutual information says, which is at most the entity's own information content
+``IC(e) = -log p(e)``. A term is counted ``smooth`` times more than it was seen, so few sightings
+are weak evidence: a term seen once, in the context, reveals an entity only if the context is
+small enough a part of the corpus (one in 2048 words by default). In the documents of an entity,
+terms with ``PMI(e, t) >= IC(e) / generalise`` are generalised wherever they stand, and those that
+come near to IC(e) itself (``IC(e) / remove``) are removed.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import materialize
 
-SUPPORT, GENERALISE, REMOVE, AROUND = 3, 1.1, 1.01, 5
-MAX_BROADCAST = 200_000  # terms; more are joined by a shuffle
+SMOOTH, GENERALISE, REMOVE = 1.0, 1.1, 1.01
 
 # The kinds in their order, with their patterns. Possessive, and starting only where a
 # leftmost match can start, so that they take linear time; they match what the plain ones match.
@@ -42,68 +43,97 @@ _VALID = {
     "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
 }
 _VALUE = {"email": "lower({v})", "ip": "{v}", "card": _DIGITS, "phone": _DIGITS}
-_NONE = "cast(array() AS array<struct<s: int, e: int, v: string, pre: string, post: string>>)"
+_NONE = "cast(array() AS array<struct<s: int, e: int, v: string>>)"
 
 
 def _spans(kind: str) -> Column:
-    """The valid matches of a kind in column _text: start, end, normalised value, and the words before and after."""
-    words = f"r'^(?:\\P{{L}}*+\\p{{L}}++){{1,{AROUND}}}'"
+    """The valid matches of a kind in column _text: start, end and normalised value."""
     valid, value = _VALID[kind].format(v="p[x.i]"), _VALUE[kind].format(v="p[x.i]")
     # the text is split at marks put around the matches, so every second part is a match
     return F.expr(
         f"CASE WHEN {_GUARD[kind]} THEN transform(array(split(regexp_replace(_text, r'{PATTERNS[kind]}', '{_MARK}$0{_MARK}'), '{_MARK}')), p -> CASE WHEN size(p) > 1 THEN "
         f"transform(filter(aggregate(sequence(1, size(p) - 1, 2), named_struct('at', length(p[0]), 'out', cast(array() AS array<struct<s: int, e: int, i: int>>)), "
         f"(a, i) -> named_struct('at', a.at + length(p[i]) + length(p[i + 1]), 'out', concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(p[i]), 'i', i)))), a -> a.out), "
-        f"x -> {valid}), x -> named_struct('s', x.s, 'e', x.e, 'v', {value}, "
-        f"'pre', reverse(regexp_extract(reverse(p[x.i - 1]), {words}, 0)), 'post', regexp_extract(p[x.i + 1], {words}, 0))) "
+        f"x -> {valid}), x -> named_struct('s', x.s, 'e', x.e, 'v', {value})) "
         f"ELSE {_NONE} END)[0] ELSE {_NONE} END"
     )
 
 
+def _whole(text: str) -> Column:
+    return F.translate(F.coalesce(F.col(text), F.lit("")), _MARK, "\x02")  # no pattern has either
+
+
 def scan(docs: DataFrame, text: str) -> DataFrame:
     """Every row with _rid, the spans of each kind, and the number of words."""
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), _MARK, "\x02")  # no pattern has either
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", t)
+    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", _whole(text))
     found = [_spans(kind).alias(f"_{kind}") for kind in PATTERNS]
     return rows.select(*[c for c in docs.columns], "_rid", *found, F.regexp_count("_text", F.lit(r"\p{L}+")).alias("_words"))
 
 
-def _mentions(rows: DataFrame) -> DataFrame:
-    """(rid, e, context, term, start, end) of every word around every mention."""
-
-    def named(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x["v"]).alias("e"), *[x[c].alias(c) for c in ("s", "pre", "post")], x["e"].alias("end")))
-
-    every = F.concat(*[named(k) for k in PATTERNS])
-    m = rows.select("_rid", F.explode(every).alias("m")).select("_rid", "m.e", F.xxhash64("m.pre", "m.post").alias("context"), "m.pre", "m.post", "m.s", "m.end")
-    side = F.explode(F.array(F.struct(F.col("pre").alias("c"), (F.col("s") - F.length("pre")).alias("at")), F.struct(F.col("post").alias("c"), F.col("end").alias("at"))))
-    m = m.select("_rid", "e", "context", side.alias("x")).select("_rid", "e", "context", "x.c", "x.at")
-    parts = F.split(F.regexp_replace("c", F.lit(r"\p{L}+"), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
-    # at most 2 * AROUND + 1 parts: the lengths before a part are summed anew for each
-    m = m.withColumn("p", parts).select("_rid", "e", "context", "at", "p", F.posexplode("p").alias("i", "word")).filter("i % 2 = 1")
-    start = F.col("at") + F.expr("aggregate(slice(p, 1, i), 0, (a, x) -> a + length(x))")
-    return m.select("_rid", "e", "context", F.lower("word").alias("term"), start.alias("s"), (start + F.length("word")).alias("end"))
-
-
-def revealing(docs: DataFrame, text: str, rows: DataFrame, mentions: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(e, term, removed) of the terms that reveal an entity beyond the thresholds."""
-    pairs = mentions.groupBy("e", "term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("context").alias("contexts"))
-    pairs = materialize(pairs.filter(F.col("contexts") >= support), "pairs")
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("term"))
-    if pairs.count() <= MAX_BROADCAST:
-        terms = F.broadcast(terms)
-    n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_e = mentions.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    total = F.greatest(rows.agg(F.sum("_words")).scalar(), F.lit(1)).cast("double")
-    scored = pairs.join(n_t, "term").join(n_e, "e")
-    pmi = F.log(F.col("n_et") * total / (F.col("n_e").cast("double") * F.greatest("n_t", "n_et")))
-    content = F.log(total / F.col("n_e"))
-    scored = scored.withColumn("pmi", pmi).withColumn("ic", content)
-    return scored.filter(F.col("pmi") >= F.col("ic") / generalise).select("e", "term", (F.col("pmi") >= F.col("ic") / remove).alias("removed"))
-
-
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _holders(rows: DataFrame) -> DataFrame:
+    """The rows with an entity: _rid, entities, _plain (the text, its entities blanked), _size (its words), _first (no copy of an earlier row)."""
+    every = F.concat(*[F.transform(f"_{k}", lambda x, k=k: F.concat(F.lit(f"{k}:"), x["v"])) for k in PATTERNS])
+    marks = F.sort_array(F.concat(*[F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in PATTERNS]))
+    blank = (
+        "aggregate(_marks, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, m) -> named_struct('at', greatest(a.at, m.e), 'out', concat(a.out, array("
+        "substring(_text, a.at + 1, greatest(m.s - a.at, 0)), repeat(' ', m.e - greatest(a.at, m.s))))), a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))"
+    )
+    held = rows.withColumn("entities", F.array_distinct(every)).filter(F.size("entities") > 0).withColumn("_marks", marks)
+    held = held.select("_rid", "entities", F.expr(blank).alias("_plain"), F.xxhash64("_text").alias("_copy"))
+    first = held.groupBy("_copy").agg(F.min("_rid").alias("_rid")).select("_rid", F.lit(True).alias("_first"))
+    held = held.withColumn("_size", F.regexp_count("_plain", F.lit(r"\p{L}+")))
+    return held.drop("_copy").join(first, "_rid", "left").withColumn("_first", F.coalesce("_first", F.lit(False)))
+
+
+def _terms(text: str) -> Column:
+    return F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\p{L}+"), F.lit(0))).alias("term")
+
+
+def revealing(rows: DataFrame, held: DataFrame, smooth: float, generalise: float, remove: float) -> DataFrame:
+    """(rid, term, removed) of the terms that reveal an entity of the row beyond the thresholds.
+
+    Entities of the same documents are one group, as their terms and figures are the same.
+    """
+    none = F.size("_email") + F.size("_ip") + F.size("_card") + F.size("_phone") == 0
+    n_in = held.select("_rid", "_first", _terms("_plain")).groupBy("_rid", "_first", F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    n_in = materialize(n_in, "terms")
+    seen = F.coalesce(F.sum(F.when(F.col("_first"), F.col("n"))), F.lit(0))
+    n_out = rows.filter(none).select(_terms("_text")).groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_out"))
+    own = n_in.groupBy("term").agg(seen.alias("n_own")).join(n_out, "term", "left")
+    total = (rows.filter(none).agg(F.sum("_words")).first()[0] or 0) + (held.filter("_first").agg(F.sum("_size")).first()[0] or 0) or 1
+    # no entity's information content is above log(total), so no other term can reach a threshold
+    most = float(total) ** max(0.0, 1 - 1 / generalise)
+    n_t = F.col("n_own") + F.coalesce("n_out", F.lit(0)) + F.lit(float(smooth))
+    rare = own.withColumn("n_t", n_t).filter(F.col("n_t") <= F.col("n_own") * F.lit(most * 1.000001)).select("term", "n_t")
+    mentions = materialize(held.select("_rid", "_first", F.explode("entities").alias("e")), "mentions")
+    mark = [F.bit_xor(F.when(F.col("_first"), F.xxhash64("_rid", F.lit(k)))).alias(f"g{k}") for k in (1, 2)]
+    groups = mentions.groupBy("e").agg(*mark)
+    members = materialize(mentions.join(groups, "e").select("_rid", "_first", "g1", "g2").distinct(), "groups")
+    size = members.filter("_first").join(held.select("_rid", "_size"), "_rid").groupBy("g1", "g2").agg(F.greatest(F.sum("_size"), F.lit(1)).cast("double").alias("n_e"))
+    pairs = materialize(members.drop("_first").join(n_in.join(rare, "term"), "_rid"), "pairs")
+    both = pairs.groupBy("g1", "g2", "term", "n_t").agg(seen.cast("double").alias("n_et"))
+    content = F.log(F.lit(float(total)) / F.col("n_e"))
+    pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
+    scored = both.join(size, ["g1", "g2"]).withColumn("pmi", pmi).withColumn("ic", content)
+    flagged = scored.filter((F.col("n_et") > 0) & (F.col("pmi") >= F.col("ic") / generalise))
+    flagged = flagged.select("g1", "g2", "term", (F.col("pmi") >= F.col("ic") / remove).alias("removed"))
+    return pairs.join(flagged, ["g1", "g2", "term"]).groupBy("_rid", "term").agg(F.max("removed").alias("removed"))
+
+
+def _places(held: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(rid, _term): every place of the flagged terms of each row."""
+    one = F.collect_list(F.when(F.col("removed"), F.col("term"))).alias("gone"), F.collect_list(F.when(~F.col("removed"), F.col("term"))).alias("general")
+    rows = flagged.groupBy("_rid").agg(*one).join(held.select("_rid", "_plain"), "_rid")
+    rows = rows.withColumn("p", F.split(F.regexp_replace("_plain", F.lit(r"\p{L}+"), F.lit(f"{_MARK}$0{_MARK}")), _MARK))
+    words = F.expr(
+        "aggregate(sequence(1, size(p) - 1, 2), named_struct('at', length(p[0]), 'out', cast(array() AS array<struct<s: int, e: int, removed: boolean>>)), "
+        "(a, i) -> named_struct('at', a.at + length(p[i]) + length(p[i + 1]), 'out', CASE WHEN array_contains(gone, lower(p[i])) THEN concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(p[i]), 'removed', true))) "
+        "WHEN array_contains(general, lower(p[i])) THEN concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(p[i]), 'removed', false))) ELSE a.out END), a -> a.out)"
+    )
+    return rows.select("_rid", words.alias("_term"))
+
+
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, smooth: float = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Every row with n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans and, if asked, clean_text.
 
     spans lists kind:start:end, by kind (email, ip, card, phone, term) and then start, in code
@@ -119,11 +149,10 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text
     kept = docs.drop(*new)
     if not with_text:
         kept = kept.select(F.col(key), F.col(text))
-    rows = scan(kept, text)
-    rows = materialize(rows if with_text else rows.drop(text), "pii")
-    mentions = materialize(_mentions(rows).distinct(), "mentions")
-    flagged = revealing(docs, text, rows, mentions, support, generalise, remove)
-    terms = mentions.join(flagged, ["e", "term"]).groupBy("_rid").agg(F.sort_array(F.collect_set(F.struct("s", F.col("end").alias("e"), "removed"))).alias("_term"))
+    rows = materialize(scan(kept, text), "pii")
+    texts = rows.withColumn("_text", _whole(text))
+    held = materialize(_holders(texts), "holders")
+    terms = _places(held, revealing(texts, held, smooth, generalise, remove))
     any_span = F.size("_email") + F.size("_ip") + F.size("_card") + F.size("_phone") > 0
     none = F.expr("cast(array() AS array<struct<s: int, e: int, removed: boolean>>)")
     some = rows.filter(any_span).join(terms, "_rid", "left").withColumn("_term", F.coalesce("_term", none))
@@ -133,7 +162,6 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text
         return F.transform(f"_{kind}", lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
     base = F.concat(*[listed(k) for k in PATTERNS])
-    out = out.withColumn("_term", F.filter("_term", lambda x, i: (i == 0) | ~F.exists(F.slice("_term", 1, i), lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]))))
     for k in (*PATTERNS, "term"):
         out = out.withColumn(f"n_{k}", F.size(f"_{k}").cast("long"))
     out = out.withColumn("base_sha256", F.sha2(F.concat_ws(",", base), 256)).withColumn("spans", F.concat_ws(",", base, listed("term")))

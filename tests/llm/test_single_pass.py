@@ -169,6 +169,19 @@ def test_revealing_terms_go_and_common_ones_stay(spark):
     assert sanitisation.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def sanitised_rows(spark, rows):
+    far = [(100 + i, "the and of it when came with " * 700) for i in range(4)]
+    return {r.doc_id: r for r in sanitisation.sanitise(spark.createDataFrame(rows + far, "doc_id long, text string")).collect()}, dict(far)
+
+
+def test_terms_of_rare_entities_go(spark):
+    rows = [(1, "the Zorblax came with jo@x.org when it came"), (2, "the Quux and +1 (212) 555-0100 came"), (3, "it came with Quux and the +1 212 5550100"), (4, "it and the Frob came")]
+    got, far = sanitised_rows(spark, rows)
+    assert got[1].clean_text == "the [TERM] came with [EMAIL] when it came" and got[1].n_term == 1
+    assert got[2].clean_text == "the [TERM] and [PHONE] came" and got[3].n_term == 1
+    assert got[4].clean_text == rows[3][1] and all(got[i].clean_text == t for i, t in far.items())
+
+
 # --- pages ---------------------------------------------------------------------------------------------
 
 
