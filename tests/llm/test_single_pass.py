@@ -182,6 +182,15 @@ def test_terms_of_rare_entities_go(spark):
     assert got[4].clean_text == rows[3][1] and all(got[i].clean_text == t for i, t in far.items())
 
 
+def test_terms_far_from_the_mention_go(spark):
+    rows = [(1, "Zorblax came and it came with the and of it when zorblax, with the of it. When: jo@x.org"), (2, "it came with jo@x.org and Zorblax"), (3, None)]
+    at = rows[0][1].index("zorblax")
+    got, _ = sanitised_rows(spark, rows)
+    assert got[1].clean_text == "[TERM] came and it came with the and of it when [TERM], with the of it. When: [EMAIL]"
+    assert [s for s in got[1].spans.split(",") if s.startswith("term")] == ["term:0:7", f"term:{at}:{at + 7}"] and got[1].n_term == 2
+    assert got[2].clean_text == "it came with [EMAIL] and [TERM]" and got[3].clean_text is None
+
+
 # --- pages ---------------------------------------------------------------------------------------------
 
 
