@@ -136,7 +136,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     floor = np.zeros(40)
     for b in range(40):
         near = best[np.abs(size - b) <= 1]
-        floor[b] = SLACK * np.median(near) if len(near) >= 20 else 0.0
+        floor[b] = SLACK * np.median(near) if len(near) >= 20 else np.nan
+    known = np.flatnonzero(~np.isnan(floor))
+    # a class with few texts takes the floor of the nearest that has enough, or else of all texts
+    for b in np.flatnonzero(np.isnan(floor)):
+        floor[b] = floor[known[np.abs(known - b).argmin()]] if len(known) else SLACK * np.median(best)
     return Model(tuple(langs), idf, centroids, floor)
 
 

@@ -45,6 +45,18 @@ def test_long_texts_are_read_whole():
     assert n[0] > m[0] and (a != b).any()
 
 
+def test_unknown_languages_are_rejected_at_any_length(spark):
+    rng = random.Random(5)
+    say = lambda vocabulary, n: " ".join(rng.choice(vocabulary.split()) for _ in range(n))
+    en, fr, ru = "the and of it when came with phoned rest house", "le la les des et une dans pour maison avec", "привет мир жизнь время человек дело рука место слово друг"
+    df = spark.createDataFrame([(2 * i + k, say(v, 60), name) for i in range(30) for k, (name, v) in enumerate((("en", en), ("fr", fr)))], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    texts = [say(v, n) for n in (1, 3, 60, 20_000) for v in (en, fr, ru)]
+    got = sorted(langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect())
+    assert [r.rejected for r in got] == [False, False, True] * 4
+    assert (model.floor > 0).all() and (langid.fit(df.limit(6)).floor > 0).all()
+
+
 # --- decontamination ---------------------------------------------------------------------------------
 
 
