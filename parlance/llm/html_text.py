@@ -2,7 +2,7 @@
 
 Pages are sorted by host and path over all partitions (a range shuffle: a host of any size spans
 as many tasks as it needs). Each page is compared with whichever of its two neighbours shares the
-longer URL prefix: the text lines of both are aligned by their longest common subsequence, and a
+longer URL prefix, copies of it passed over: the text lines of both are aligned by their longest common subsequence, and a
 shared line is template, not content. Two things the difference alone cannot know come from the
 markup: lines inside menus, headers, footers, sidebars, notices, adverts, forms and comment
 sections go even when the neighbour shows other ones, and lines inside ``article`` or ``main``
@@ -13,12 +13,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.llm.common import materialize
+
 # HTML's element names by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -40,6 +44,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 NEUTRAL, ARTICLE, NOISE, BODY = 0, 1, 2, 3
+COPY = 0.95  # of the characters of the longer of two pages in lines that both have: copies
 
 
 def is_noise(said: str) -> bool:
@@ -196,13 +201,48 @@ def _alike(a: tuple[str, str], b: tuple[str, str]) -> int:
     return n
 
 
+def copies(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> bool:
+    """Whether two pages have the same lines, but for a few characters."""
+    if a == b:
+        return True
+    x, y = Counter(t for _, t in a), Counter(t for _, t in b)
+    size = max(sum(len(t) * n for t, n in c.items()) for c in (x, y))
+    return sum(len(t) * n for t, n in (x & y).items()) >= COPY * size
+
+
+def runs(pages: Iterable[tuple]) -> Iterator[tuple]:
+    """The runs of copies among (id, url, (host, path), lines, ...), with a different page before and after each, or None."""
+    before, run = None, []
+    for p in pages:
+        if run and p[2][0] == run[0][2][0] and copies(run[0][3], p[3]):
+            run.append((*p[:3], run[0][3], *p[4:]) if p[3] == run[0][3] else p)
+            continue
+        if run:
+            yield before, run, p
+            before = run[0]
+        run = [p]
+    if run:
+        yield before, run, None
+
+
+def judged(left: tuple | None, now: tuple, right: tuple | None) -> tuple:
+    """(page_id, url, text, n_chars, partner_id, n_lines, n_shared) of a page between two others."""
+    best = None
+    for side in (left, right):
+        if side and _alike(now[2], side[2]) >= 0 and (best is None or _alike(now[2], side[2]) > _alike(now[2], best[2])):
+            best = side
+    text, shared = main_text(now[3], best[3] if best else None)
+    return now[0], now[1], text, len(text), best[0] if best else None, len(now[3]), shared
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars, partner_id, n_lines, n_shared.
 
     A null or empty page has an empty text; a null URL counts as a host of its own, the empty one;
-    repeated rows and URLs are pages of their own and may be partners of each other; a page alone
-    on its host (or at both ends of a partition) has no partner and is judged by its markup; an
-    empty table gives an empty table; other columns are not read. Whole pages are processed.
+    repeated rows and URLs are pages of their own; copies are not partners of each other, but of the
+    nearest different page of the host; a page without one has no partner and is judged by its
+    markup; an empty table gives an empty table; other columns are not read. Whole pages are
+    processed. The runs at the ends of partitions are judged together, in a second step.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     address = F.coalesce(F.col("url"), F.lit(""))
@@ -210,47 +250,77 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     rows = rows.withColumn("_path", F.regexp_replace(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", ""))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "_host", "_path", "page_id").sortWithinPartitions("_host", "_path", "page_id")
+    kind = dict(rows.dtypes)["page_id"]
+    schema = f"page_id {kind}, url string, text string, n_chars long, partner_id {kind}, n_lines int, n_shared int"
+    # of pages that wait for the second step, and of different pages beside them, which it only reads
+    waiting = "part int, seq long, asked boolean, host string, path string, kinds array<int>, lines array<string>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = current = None  # (id, url, (host, path), lines)
-        ids, urls, texts, sizes, partners, counts, shares = ([] for _ in range(7))
-
-        def take(left, now, right) -> None:
-            best = None
-            for side in (left, right):
-                if side and _alike(now[2], side[2]) >= 0 and (best is None or _alike(now[2], side[2]) > _alike(now[2], best[2])):
-                    best = side
-            text, shared = main_text(now[3], best[3] if best else None)
-            for column, value in zip((ids, urls, texts, sizes, partners, counts, shares), (now[0], now[1], text, len(text), best[0] if best else None, len(now[3]), shared), strict=True):
-                column.append(value)
-
-        def batch() -> pa.RecordBatch:
-            done = pa.record_batch(
-                [pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(partners, kind), pa.array(counts, pa.int32()), pa.array(shares, pa.int32())],
-                names=["page_id", "url", "text", "n_chars", "partner_id", "n_lines", "n_shared"],
-            )
-            for column in (ids, urls, texts, sizes, partners, counts, shares):
-                column.clear()
-            return done
-
-        kind = pa.int64()
-        for b in batches:
-            kind = b.schema.field("page_id").type
-            for i in range(b.num_rows):
-                row = [b.column(c)[i].as_py() for c in range(5)]
-                following = (row[0], row[1], (row[3], row[4]), lines(row[2] or ""))
-                if current:
-                    take(before, current, following)
-                before, current = current, following
-                if len(ids) >= 500:
-                    yield batch()
-        if current:
-            take(before, current, None)
-        if ids:
-            yield batch()
+    def batches_of(found: Iterator[tuple], like: pa.DataType, wide: bool) -> Iterator[pa.RecordBatch]:
+        types = [like, pa.string(), pa.string(), pa.int64(), like, pa.int32(), pa.int32()]
+        names = ["page_id", "url", "text", "n_chars", "partner_id", "n_lines", "n_shared"]
+        if wide:
+            types += [pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
+            names += ["part", "seq", "asked", "host", "path", "kinds", "lines"]
+        some: list[tuple] = []
+        for row in found:
+            some.append(row)
+            if len(some) >= 500:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+                some = []
+        if some:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
 
-    kind = dict(rows.dtypes)["page_id"]
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, partner_id {kind}, n_lines int, n_shared int")
+    def first_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        like = pa.int64()
+
+        def parsed() -> Iterator[tuple]:
+            nonlocal like
+            for b in batches:
+                like = b.schema.field("page_id").type
+                for i in range(b.num_rows):
+                    row = [b.column(c)[i].as_py() for c in range(5)]
+                    yield row[0], row[1], (row[3], row[4]), lines(row[2] or "")
+
+        def wait(p: tuple, asked: bool) -> tuple:
+            nonlocal seq
+            seq += 1
+            return p[0], p[1], None, None, None, None, None, part, seq, asked, *p[2], [k for k, _ in p[3]], [t for _, t in p[3]]
+
+        def found() -> Iterator[tuple]:
+            for left, run, right in runs(parsed()):
+                if left and right:
+                    yield from ((*judged(left, p, right), *[None] * 7) for p in run)
+                    continue
+                if left:
+                    yield wait(left, False)
+                yield from (wait(p, True) for p in run)
+                if right:
+                    yield wait(right, False)
+
+        rows_found = found()
+        for first in rows_found:  # the type of the key is known only now
+            yield from batches_of((x for part_of in ((first,), rows_found) for x in part_of), like, True)
+
+    def second_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        like = pa.int64()
+
+        def waited() -> Iterator[tuple]:
+            nonlocal like
+            for b in batches:
+                like = b.schema.field("page_id").type
+                for r in b.to_pylist():
+                    yield r["page_id"], r["url"], (r["host"], r["path"]), list(zip(r["kinds"], r["lines"], strict=True)), r["asked"]
+
+        found = (judged(left, p, right) for left, run, right in runs(waited()) for p in run if p[4])
+        for first in found:
+            yield from batches_of((x for part_of in ((first,), found) for x in part_of), like, False)
+
+    out = materialize(rows.mapInArrow(first_step, f"{schema}, {waiting}"), "pages")
+    names = ["page_id", "url", "text", "n_chars", "partner_id", "n_lines", "n_shared"]
+    edges = out.filter("part is not null").select("page_id", "url", "part", "seq", "asked", "host", "path", "kinds", "lines")
+    edges = edges.repartition(1).sortWithinPartitions("part", "seq")
+    return out.filter("part is null").select(*names).unionByName(edges.mapInArrow(second_step, schema))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

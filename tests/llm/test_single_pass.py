@@ -262,6 +262,24 @@ def test_pages(spark):
     assert by[3].text == by[4].text == "" and by[3].n_chars == 0 and by[5].text == "Top"
 
 
+def test_copies_and_partition_edges_lose_no_text(spark):
+    html = lambda i: f"<p>Top</p><p>Story number {i} of the day</p><p>Imprint</p>"
+    rows = [(i, f"http://h/a/{i:03}", html(i)) for i in range(40)]
+    rows += [(7, "http://h/a/007", html(7)), (107, "http://h/a/007?print=1", html(7)), (39, "http://h/a/039", html(39)), (300, "http://g/x", html(1)), (301, "http://g/x", html(1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = html_text.extract(df).collect()
+            assert len(got) == len(rows)
+            for r in got:
+                want = f"Story number {r.page_id % 100} of the day" if r.page_id < 300 else "Top\n\nStory number 1 of the day\n\nImprint"
+                assert r.text == want and (r.partner_id is None) == (r.page_id >= 300), (n, r)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 # --- packing -------------------------------------------------------------------------------------------
 
 
