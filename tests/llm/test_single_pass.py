@@ -207,7 +207,8 @@ def test_terms_far_from_the_mention_go(spark):
 
 
 def text_of(page, other=None):
-    return html_text.main_text(html_text.lines(page), html_text.lines(other) if other else None)[0]
+    mine, theirs = (html_text.Page(i, None, "", "", html_text.lines(x)) if x is not None else None for i, x in enumerate((page, other)))
+    return html_text.content(mine.lines, html_text.shared_by(mine, theirs)[0])
 
 
 def test_markup():
@@ -245,12 +246,119 @@ def test_longest_common_subsequence():
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         return t[-1][-1]
 
-    for _ in range(300):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
-        at = html_text.common_lines(a, b)
-        assert len(at) == best(a, b) and at == sorted(set(at))
-        it = iter(b)
-        assert all(x in it for x in (a[i] for i in at))
+    held = html_text.TRACED
+    try:
+        for most in (held, 20):
+            html_text.TRACED = most
+            for _ in range(300):
+                a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+                at, bt = html_text.aligned(a, b)
+                assert len(at) == best(a, b) and at == sorted(set(at)) and bt == sorted(set(bt))
+                assert [a[i] for i in at] == [b[j] for j in bt]
+    finally:
+        html_text.TRACED = held
+
+
+def test_very_many_lines_align_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(1)
+    a = [str(rng.randrange(30_000)) for _ in range(30_000)]
+    b = [x for x in a if rng.random() < 0.9] + ["end"]
+    tracemalloc.start()
+    at, bt = html_text.aligned(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+    assert len(at) == len(b) - 1 and [a[i] for i in at] == [b[j] for j in bt]
+
+
+def test_the_place_that_differs_is_the_content():
+    page = lambda i: f"<div class=a><p>entry {i} here</p></div><div class=b><h1>Title {i}</h1><p>{f'story {i} goes on ' * 9}</p></div><div class=c>notice {i % 3}</div>"
+    pages = [html_text.Page(i, None, "h", f"/{i}", html_text.lines(page(i))) for i in range(7)]
+    for i, _, text, _, _, n, _ in html_text.decided(pages, False, False, False):
+        assert text == f"Title {i}\n\n{(f'story {i} goes on ' * 9).strip()}" and n == 4
+    # the difference overrules the markup where an article hardly differs
+    page = lambda i: f"<article>card</article><div>{f'text {i} ' * 60}</div>"
+    pages = [html_text.Page(i, None, "h", f"/{i}", html_text.lines(page(i))) for i in range(4)]
+    assert all(text.startswith("text") for _, _, text, *_ in html_text.decided(pages, False, False, False))
+
+
+def plainly(pages):
+    """The whole result for (id, host, path, [(kind, place, line)]) whose lines are unique in their page, without streams."""
+    pages = sorted(pages, key=lambda p: (p[1], p[2], p[0]))
+    groups = []
+    for p in pages:
+        mine = [t for _, _, t in p[3]]
+        theirs = [t for _, _, t in groups[-1][0][3]] if groups else []
+        same = sum(len(t) for t in set(mine) & set(theirs))
+        if groups and groups[-1][0][1] == p[1] and same >= 0.95 * max(sum(map(len, mine)), sum(map(len, theirs))):
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+
+    def partner(g, p):
+        near = [groups[k][0] for k in (g - 1, g + 1) if 0 <= k < len(groups) and groups[k][0][1] == p[1]]
+        prefix = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+        return max(near, key=lambda q: prefix(p[2], q[2]), default=None)
+
+    def left(g, p):
+        q = partner(g, p)
+        gone = {t for _, _, t in q[3]} if q else set()  # template lines are in the same order everywhere
+        return [x for x in p[3] if x[2] not in gone]
+
+    out = {}
+    for g, group in enumerate(groups):
+        for p in group:
+            mass = {}
+            for k in range(g - 2, g + 3):
+                if 0 <= k < len(groups) and groups[k][0][1] == p[1]:
+                    for kind, place, t in left(g, p) if k == g else left(k, groups[k][0]):
+                        mass[kind, place] = mass.get((kind, place), 0) + len(t)
+            own = {(kind, place) for kind, place, _ in p[3]}
+            if not own:
+                out[p[0]] = ""
+                continue
+            kind, place = max(own, key=lambda x: (mass.get(x, 0) * (64 if x[0] == html_text.ARTICLE else 1 / 64 if x[0] == html_text.NOISE else 1), -(x[0] == html_text.NOISE), x))
+            kept = [t for k, _, t in p[3] if k == kind] if kind == html_text.ARTICLE else [t for k, at, t in left(g, p) if (k, at) == (kind, place)]
+            out[p[0]] = "\n\n".join(kept)
+    return out
+
+
+def test_pages_agree_with_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(160):
+        host = rng.choice(["a", "a", "a", "b", "c"])
+        story = [f"{w} {i}" for w in rng.sample(["one fine day", "two of them went", "three came back again", "four"], rng.randint(1, 4))]
+        body = "<article>" + "".join(f"<p>{x}</p>" for x in story) + "</article>" if rng.random() < 0.4 else "<div class=x>" + "".join(f"<p>{x}</p>" for x in story) + "</div>"
+        html = f"<div class=m><p>menu</p><p>menu {rng.randrange(3)}</p></div>{body}<footer>imprint {host}</footer>"
+        rows += [(1000 * k + i, f"http://{host}/{rng.randrange(40):02}/{i}", html) for k in range(rng.choice([1, 1, 1, 3]))]
+    pages = [(i, u[7], u[8:], [x for x in html_text.lines(h) if x[2]]) for i, u, h in rows]
+    want = plainly(pages)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    held, fan = spark.conf.get("spark.sql.shuffle.partitions"), html_text.FAN
+    try:
+        for n, html_text.FAN in ((1, 4096), (5, 4096), (70, 4), (70, 4096)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+            assert got == want, n
+    finally:
+        html_text.FAN = fan
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_given_pages_keep_their_articles_with_the_markup_hidden(spark, tables):
+    """The difference alone finds nearly all articles of the given pages; with the markup, all."""
+    pages = []
+    for r in spark.read.parquet(f"{tables}/pages.parquet").collect():
+        host, _, path = (r.url or "").partition("://")[2].partition("/")
+        pages.append(html_text.Page(r.page_id, r.url, host, re.sub(r"[?#].*", "", path), html_text.lines(r.html or "")))
+    pages.sort(key=lambda p: (p.host, p.path, p.id))
+    want = {p.id: "\n\n".join(t for k, _, t in p.lines if k == html_text.ARTICLE and t) for p in pages}
+    assert {r[0]: r[2] for r in html_text.decided(pages, False, False, False)} == want
+    bare = [html_text.Page(p.id, p.url, p.host, p.path, [(html_text.NEUTRAL, place, t) for _, place, t in p.lines if t]) for p in pages]
+    got = {r[0]: r[2] for r in html_text.decided(bare, False, False, False)}
+    assert sum(got[i] == want[i] for i in want) >= 0.8 * len(want)
 
 
 def test_pages(spark):
