@@ -64,7 +64,7 @@ COPY = 0.95  # of the characters of the longer of two pages in lines that both h
 WINDOW = 2  # different pages on either side whose places are weighed with the page's own
 REACH = WINDOW + 1  # their partners are one further
 DEEPEST = 64  # containers that a place tells apart
-FAN = 4096  # partitions whose ends one task of the second step sees
+FAN = 64  # partitions whose ends one task of the second step sees
 TRACED = 1 << 27  # bits that an alignment holds at once
 
 Line = tuple[int, str, str]  # what the markup says, place, text
