@@ -1,28 +1,29 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks pick some of the words at a place and ignore the others, so a seed survives the
-substitution of an ignored word. The seeds of the benchmark are joined with those at every place
-of every document; around a hit the item is laid over the document on the hit's diagonal and the
-stretch with the most agreeing words of those that are alike enough is measured, substitutions
-included.
-
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, however large it is;
-the documents are never shuffled.
+substitution of an ignored word. The seeds of the benchmark, a table, are joined with those at every
+place of every different text; a bit filter of the benchmark's seeds, of bounded size, keeps seeds
+that no item has out of the shuffle. Around a hit the item is laid over the text on the hit's
+diagonal and the stretch with the most agreeing words of those that are alike enough is measured,
+substitutions included.
+
+Texts are known by a 64-bit hash, so copies are searched once. Neither the benchmark nor the texts
+reach the driver; texts are fetched, for measuring, only where a seed was hit.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from parlance.llm.common import U, chunks, mix, ragged, small_batches, utf8, word_hashes, words
+from parlance.llm.common import U, chunks, materialize, mix, small_batches, utf8, word_hashes, words
 
 # Together these masks hit every 13 words of which any two are substituted, and
 # 99 of 100 ways to substitute three (tests/llm).
@@ -30,21 +31,13 @@ MASKS = ((0, 1, 3, 4, 5), (0, 2, 3, 4, 7), (0, 2, 3, 4, 6), (0, 4, 5, 6, 7))
 # They hit every stretch that the default rule allows in items of 8, 9 and 11 or more words, and
 # the short ones in items of 4 to 10; 3 words or fewer must agree as a whole.
 SHORT, SHORT_WORDS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4)), 10
-MIN_MATCH, IDENTITY, BLOCK_WORDS = 13, 0.8, 1_000_000
+WHOLE = tuple(tuple(range(n)) for n in (1, 2, 3))
+MIN_MATCH, IDENTITY = 13, 0.8
+FEW_BITS, MOST_BITS = 20, 27  # of the filter: 2**27 bits are 16 MB
+SMALL = 200_000  # rows of a table that is broadcast, after a count
 
 _SPACE = np.ones(256, bool)
 _SPACE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-_BITS = 20
-
-
-@dataclass(frozen=True)
-class Block:
-    """Some items of the benchmark: their words' hashes, and the places of their seeds by mask."""
-
-    ids: np.ndarray
-    offs: np.ndarray
-    word: np.ndarray
-    seeds: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]  # mask, sorted hashes, places, filter
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +49,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spaced(word: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """The hash of the masked words at every place where the mask fits."""
+    """The hash of the masked words at every place where the mask fits; another one for each mask."""
     n = len(word) - mask[-1]
     if n <= 0:
         return np.zeros(0, U)
-    h = np.zeros(n, U)
+    h = np.full(n, zlib.crc32(bytes(mask)), U)
     with np.errstate(over="ignore"):
         for o in mask:
             h = (h ^ word[o : o + n]) * U(0x9E3779B97F4A7C15)
@@ -68,34 +61,41 @@ def spaced(word: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix(h)
 
 
-def build(ids: list[int], texts: list[str | None]) -> Block:
-    word, offs = tokens(pa.array(texts, pa.string()))
-    row = np.repeat(np.arange(len(ids)), np.diff(offs))
-    size = np.diff(offs)[row]
-    whole = [((*range(n),), size == n) for n in (1, 2, 3)]
-    seeds = []
-    for mask, use in [*whole, *((m, (size > 3) & (size <= SHORT_WORDS)) for m in SHORT), *((m, size > SHORT_WORDS) for m in MASKS)]:
+def _ends_of_runs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the ascending places to keep: of the same seed at place after place, the first and the last.
+
+    Where a run meets a run, the best overlap has their firsts or their lasts on one another.
+    """
+    if len(at) < 3:
+        return np.ones(len(at), bool)
+    on = (at[1:] == at[:-1] + 1) & (h[at[1:]] == h[at[:-1]])
+    return ~(np.append(False, on) & np.append(on, False))
+
+
+def item_seeds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, key, place in the text, mask's number) of every seed of benchmark items."""
+    word, offs = tokens(texts)
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    size, place = np.diff(offs)[row], np.arange(len(word)) - offs[row]
+    every = [((m, size == len(m))) for m in WHOLE] + [(m, (size > 3) & (size <= SHORT_WORDS)) for m in SHORT] + [(m, size > SHORT_WORDS) for m in MASKS]
+    out = []
+    for number, (mask, use) in enumerate(every):
         h = spaced(word, mask)
-        at = np.flatnonzero(use[: len(h)] & (row[: len(h)] == row[mask[-1] :][: len(h)]))
-        if not len(at):
-            continue
-        order = at[np.argsort(h[at], kind="stable")]
-        there = np.zeros(1 << _BITS, bool)
-        there[(h[order] >> U(64 - _BITS)).astype(np.int64)] = True
-        seeds.append((mask, h[order], order, there))
-    return Block(np.array(ids, np.int64), offs, word, seeds)
-
-
-def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_words`` words; null and empty items have no seeds."""
-    small_batches(benchmark.sparkSession)
-    rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).filter("t is not null and id is not null")
-    total = rows.agg(F.sum(F.regexp_count("t", F.lit(r"\S+")))).first()[0] or 0
-    n = -(-total // block_words)
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id", "t"), F.lit(max(n, 1))))
-    for b in range(n):
-        got = sorted((r["id"], r["t"]) for r in rows.filter(F.col("b") == b).select("id", "t").collect())
-        yield build([x for x, _ in got], [t for _, t in got])
+        at = np.flatnonzero(use[: len(h)] & (row[: len(h)] == row[mask[-1] :][: len(h)])) if len(h) else np.zeros(0, np.int64)
+        at = at[_ends_of_runs(h, at) | (np.diff(row[at], prepend=-1) != 0) | (np.diff(row[at], append=-1) != 0)] if len(at) else at
+        out.append((row[at], h[at], place[at], np.full(len(at), number)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def text_seeds(word: np.ndarray, masks: list[int], there: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, place) of the seeds of a column of texts that the filter ``there`` knows, mask by mask."""
+    bits = U(64 - (len(there) * 8).bit_length() + 1)
+    for m in masks:
+        h = spaced(word, (*WHOLE, *SHORT, *MASKS)[m])
+        b = (h >> bits).astype(np.int64)
+        at = np.flatnonzero(there[b >> 3] >> (b & 7).astype(np.uint8) & 1)
+        at = at[_ends_of_runs(h, at)]
+        yield h[at], at
 
 
 def stretch(same: np.ndarray, identity: float = IDENTITY) -> tuple[int, int, int]:
@@ -120,95 +120,129 @@ def stretch(same: np.ndarray, identity: float = IDENTITY) -> tuple[int, int, int
     return int(first[best]), int(last[best]), most
 
 
-def overlaps(texts: pa.Array, block: Block, min_match: int = MIN_MATCH, identity: float = IDENTITY) -> list[tuple[int, int, int, int, int, int]]:
-    """(row, item, first word, words, matches, item's words) of the best overlap of each row and item.
+def measure(word: np.ndarray, item: np.ndarray, diagonals: np.ndarray, min_match: int = MIN_MATCH, identity: float = IDENTITY) -> tuple[int, int, int] | None:
+    """(first word, words, matches) of the best overlap of a text with an item laid over it at any of the places, or None.
 
     It counts if it has ``min_match`` matching words (of a shorter item: ``identity`` of all), and
-    they are ``identity`` of the stretch.
+    they are ``identity`` of the stretch. About a million words are compared at a time.
     """
-    word, offs = tokens(texts)
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if not len(word) or not len(block.word):
-        return []
-    pairs = []
-    for mask, keys, places, there in block.seeds:
-        h = spaced(word, mask)
-        at = np.flatnonzero(there[(h >> U(64 - _BITS)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
-        lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-        n = hi - lo
-        if n.sum():
-            pairs.append((np.repeat(at, n), places[np.repeat(lo, n) + ragged(n)]))
-    if not pairs:
-        return []
-    at, place = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    row = np.searchsorted(offs, at, "right") - 1
-    item = np.searchsorted(block.offs, place, "right") - 1
-    first = at - (place - block.offs[item])  # the document's place under the item's first word
-    cases = np.unique(np.stack([row, item, first]), axis=1)
-    size, share = np.diff(block.offs), Fraction(str(identity))
-    for lo in range(0, cases.shape[1], 20_000):
-        r, m, f = cases[:, lo : lo + 20_000]
-        n = size[m]
-        k = ragged(n)
-        where = np.repeat(f, n) + k
-        inside = (where >= np.repeat(offs[r], n)) & (where < np.repeat(offs[r + 1], n))
-        same = inside & (word[np.clip(where, 0, len(word) - 1)] == block.word[np.repeat(block.offs[m], n) + k])
-        ends = np.cumsum(n)
-        total = np.add.reduceat(same, ends - n)
-        need = np.minimum(min_match, -(-n * share.numerator // share.denominator))
-        for c in np.flatnonzero(total >= need):
-            if found.get((int(r[c]), int(m[c])), (0, 0, 0))[2] >= total[c]:
-                continue
-            a, b, matches = stretch(same[ends[c] - n[c] : ends[c]], identity)
-            if matches >= need[c]:
-                case = (int(r[c]), int(m[c]))
-                if case not in found or found[case][2] < matches:
-                    found[case] = (int(f[c] - offs[r[c]]) + a, b - a, matches)
-    return [(r, int(block.ids[m]), *v, int(size[m])) for (r, m), v in sorted(found.items())]
-
-
-def _pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    _, offs = utf8(column)
-    for lo, hi in chunks(offs, 2_000_000):
-        yield lo, column.slice(lo, hi - lo)
+    n, share, best = len(item), Fraction(str(identity)), None
+    need = min(min_match, -(-n * share.numerator // share.denominator))
+    step = max(1, 1_000_000 // max(n, 1))
+    diagonals = np.sort(diagonals)
+    for lo in range(0, len(diagonals), step):
+        first = diagonals[lo : lo + step]
+        where = first[:, None] + np.arange(n)
+        same = (where >= 0) & (where < len(word))
+        same &= word[np.clip(where, 0, max(0, len(word) - 1))] == item
+        total = same.sum(1)
+        for c in np.argsort(-total, kind="stable"):
+            if total[c] < max(need, best[2] + 1 if best else 1):
+                break
+            a, b, matches = stretch(same[c], identity)
+            if matches >= need and (not best or matches > best[2]):
+                best = int(first[c]) + a, b - a, matches
+    return best
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its count allows that."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def _filter(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The bits of the benchmark's seeds, about 16 to a seed but at most ``MOST_BITS``, and the masks in use."""
+    stats = seeds.agg(F.count(F.lit(1)), F.collect_set("mask")).first()
+    bits = min(MOST_BITS, max(FEW_BITS, (16 * stats[0]).bit_length()))
+    b = F.shiftrightunsigned("key", 64 - bits) + 1  # they are counted from 1
+    got = seeds.groupBy(F.bitmap_bucket_number(b).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(b)).alias("m")).collect()
+    there = np.zeros(1 << (bits - 3), np.uint8)
+    for r in got:
+        there[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return there, sorted(stats[1])
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", text: str = "text", item_text: str = "text", min_match: int = MIN_MATCH, identity: float = IDENTITY) -> tuple[DataFrame, DataFrame]:
+    """(h, ih, start_word, n_words, n_match, item_words), a table of the best overlap of each text and item by their hashes; and the items' hashes (item_id, ih)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.col(key).alias("item_id"), F.col(item_text).alias("item")).filter("item is not null").withColumn("ih", _hash(F.col("item")))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in chunks(utf8(b.column("item"))[1], 1_000_000):
+                row, h, place, mask = item_seeds(b.column("item").slice(lo, hi - lo))
+                yield pa.record_batch([b.column("ih").take(pa.array(lo + row)), pa.array(h.view(np.int64)), pa.array(place, pa.int32()), pa.array(mask, pa.int32())], names=["ih", "key", "place", "mask"])
+
+    different = items.dropDuplicates(["ih"]).select("ih", "item")
+    seeds = materialize(different.mapInArrow(index, "ih long, key long, place int, mask int"), "seeds")
+    there, masks = _filter(seeds)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("text")
+            for lo, hi in chunks(utf8(column)[1], 2_000_000):
+                word, offs = tokens(column.slice(lo, hi - lo))
+                for found, at in text_seeds(word, masks, there):
+                    if len(at):
+                        row = np.searchsorted(offs, at, "right") - 1
+                        yield pa.record_batch([b.column("h").take(pa.array(lo + row)), pa.array(found.view(np.int64)), pa.array(at - offs[row], pa.int32())], names=["h", "key", "at"])
+
+    rows = docs.select(_hash(F.col(text)).alias("h"), F.col(text).alias("text")).filter("text is not null")
+    hits = rows.mapInArrow(probe, "h long, key long, at int").distinct()
+    pairs = hits.join(_small(seeds.select("key", "ih", "place")), "key").select("h", "ih", (F.col("at") - F.col("place")).alias("d"))
+    pairs = materialize(pairs.groupBy("h", "ih").agg(F.collect_set("d").alias("ds")), "overlap-pairs")
+    hit = _small(pairs.select("h").distinct())
+    texts = rows.join(hit, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    laid = pairs.join(_small(different), "ih").select("h", F.lit(1).alias("k"), F.col("item").alias("text"), "ih", "ds")
+    both = texts.select("h", F.lit(0).alias("k"), "text", F.lit(None).cast("long").alias("ih"), F.lit(None).cast("array<int>").alias("ds")).unionByName(laid)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(n, "h").sortWithinPartitions("h", "k", "ih")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lru_cache(1000)(lambda t: tokens(pa.array([t], pa.large_string()))[0])
+        word = np.zeros(0, U)
+        for b in batches:
+            cols, out = [b.column(i) for i in range(5)], []
+            for i in range(b.num_rows):
+                h, k, t, ih, ds = (c[i] for c in cols)
+                if k.as_py() == 0:  # a text, and after it the items to lay over it
+                    word = tokens(pa.array([t.as_py()], pa.large_string()))[0]
+                    continue
+                item = one(t.as_py())
+                if got := measure(word, item, ds.values.to_numpy().astype(np.int64), min_match, identity):
+                    out.append((h.as_py(), ih.as_py(), *got, len(item)))
+            if out:
+                types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["h", "ih", "start_word", "n_words", "n_match", "item_words"])
+
+    found = both.mapInArrow(compare, "h long, ih long, start_word int, n_words int, n_match int, item_words int")
+    return materialize(found, "overlaps"), items.select("item_id", "ih")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", min_match: int = MIN_MATCH, identity: float = IDENTITY) -> DataFrame:
-    """One row per overlapping document row and item: doc_id, item_id, start_word, n_words, n_match, item_words.
+    """One row per overlapping document row and item row: doc_id, item_id, start_word, n_words, n_match, item_words.
 
-    The best overlap of each pair. Null, empty and wordless texts and items overlap nothing;
-    repeated rows each give their rows; an item repeated under another id gives a row for each;
-    an empty table on either side gives an empty table; other columns are not read.
+    The best overlap of each pair: the most matching words, then the first place. Null, empty and
+    wordless texts and items overlap nothing; ids of any type may be null or repeated, and repeated
+    rows each give their rows; an item repeated under another id gives a row for each; an empty table
+    on either side gives an empty table; other columns are not read. Whole texts of any length are
+    searched; a text that repeats a seed with a period is laid under the item once for each place.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    out = rows.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, start_word int, n_words int, n_match int, item_words int")
-    for block in blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, piece in _pieces(b.column("text")):
-                    if got := overlaps(piece, block, min_match, identity):
-                        cols = list(zip(*got, strict=True))
-                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([lo + r for r in cols[0]])), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=["doc_id", "item_id", "start_word", "n_words", "n_match", "item_words"])
-
-        out = out.unionByName(rows.mapInArrow(run, out.schema))
-    return out
+    found, items = overlaps(docs, benchmark, text=text, min_match=min_match, identity=identity)
+    rows = docs.select(F.col(key).alias("doc_id"), _hash(F.col(text)).alias("h"), F.col(text).isNull().alias("none")).filter("not none")
+    return rows.join(_small(found), "h").join(_small(items), "ih").select("doc_id", "item_id", "start_word", "n_words", "n_match", "item_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_match: int = MIN_MATCH, identity: float = IDENTITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap no item of the benchmark; see ``contaminations``."""
-    for block in blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for lo, piece in _pieces(b.column(b.schema.get_field_index(text))):
-                    keep[[lo + x[0] for x in overlaps(piece, block, min_match, identity)]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, StructType(list(docs.schema.fields)))
-    return docs
+    """The rows of ``docs``, all columns whatever their names, that overlap no item of the benchmark; see ``contaminations``."""
+    found, _ = overlaps(docs, benchmark, text=text, min_match=min_match, identity=identity)
+    rows = docs.select(_hash(F.col(text)).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(_small(found.select("h").distinct()), "h", "left_anti").select("row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

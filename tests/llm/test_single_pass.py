@@ -90,13 +90,62 @@ def test_overlaps(spark):
     assert decontamination.decontaminate(df, bench.limit(0)).count() == 10
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark):
-    bench = spark.createDataFrame([(i, " ".join(f"t{i}x{k}" for k in range(20))) for i in range(12)], "item_id long, text string")
-    parts = list(decontamination.blocks(bench, block_words=60))
-    assert len(parts) > 1 and sorted(i for b in parts for i in b.ids) == list(range(12))
-    texts = pa.array([" ".join(f"t{i}x{k}" for k in range(20)) for i in range(12)])
-    found = {(r, m) for b in parts for r, m, *_ in decontamination.overlaps(texts, b)}
-    assert found == {(i, i) for i in range(12)}
+def found_in(texts, item, filter_bits=20):
+    """The numbers of the texts that overlap one item, without Spark: seeds, diagonals and measuring."""
+    row, key, place, mask = decontamination.item_seeds(pa.array([item]))
+    there = np.zeros(1 << (filter_bits - 3), np.uint8)
+    at = (key >> np.uint64(64 - filter_bits)).astype(int)
+    np.bitwise_or.at(there, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    own, out = decontamination.tokens(pa.array([item]))[0], set()
+    for i, t in enumerate(texts):
+        word, _ = decontamination.tokens(pa.array([t], pa.string()))
+        hit = {int(p - q) for h, places in decontamination.text_seeds(word, sorted(set(mask.tolist())), there) for k, p in zip(h, places) for q in place[key == k]}
+        if hit and decontamination.measure(word, own, np.array(sorted(hit))):
+            out.add(i)
+    return out
+
+
+def test_ids_of_any_kind_and_any_number_of_items(spark):
+    rng = random.Random(8)
+    items = [" ".join(f"t{i}x{k}" for k in range(rng.randint(1, 30))) for i in range(60)]
+    bench = spark.createDataFrame([*((f"i{i}", t, 1) for i, t in enumerate(items)), (None, "alone", 1), ("i0", None, 1)], "item_id string, text string, h int")
+    docs = [*((f"d{i}", f"before {t} after", "x") for i, t in enumerate(items)), (None, "alone", "y"), (None, None, "z"), ("d1", f"before {items[1]} after", "x")]
+    df = spark.createDataFrame(docs, "doc_id string, text string, h string")
+    held = decontamination.SMALL
+    try:
+        for decontamination.SMALL in (held, 0):
+            got = sorted(((r.doc_id, r.item_id) for r in decontamination.contaminations(df, bench).collect()), key=repr)
+            assert got == sorted([*((f"d{i}", f"i{i}") for i in range(60)), ("d1", "i1"), (None, None)], key=repr)
+            left = decontamination.decontaminate(df, bench)
+            assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(None, None, "z")]
+    finally:
+        decontamination.SMALL = held
+
+
+def test_overlaps_agree_with_brute_force(spark):
+    """Every diagonal of every text and item, over few words, so that seeds collide and repeat."""
+    rng = random.Random(9)
+    say = lambda n, m: " ".join(rng.choice("abcdefghijkl"[:m]) for _ in range(n))
+    items = [say(rng.randint(1, 25), m) for m in (2, 6, 12) for _ in range(6)] + ["a " * 30]
+    texts = [say(rng.randint(0, 60), rng.choice((2, 6, 12))) for _ in range(40)] + ["a " * 200, "b " + "a " * 14 + "c"]
+    for k in range(12):
+        w = items[k].split()
+        if len(w) > 10:
+            w[rng.randrange(len(w))] = "zz"
+        texts.append(f"{say(5, 12)} {' '.join(w)} {say(5, 12)}")
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            a, b = t.split(), item.split()
+            need = min(13, -(-4 * len(b) // 5))
+            same = [[0 <= p < len(a) and a[p] == x for p, x in enumerate(b, d)] for d in range(-len(b), len(a) + 1)]
+            if (m := max((best_stretch(s, need) for s in same if sum(s) >= need), default=0)) >= need:
+                want[i, j] = m
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_match for r in decontamination.contaminations(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    # three substitutions in 13 words may escape the masks (1 in 100 ways)
+    assert set(got) <= set(want) and all(got[k] <= want[k] for k in got)
+    assert sum(got.get(k) == n for k, n in want.items()) >= 0.99 * len(want)
 
 
 def best_stretch(same, need):
@@ -116,22 +165,21 @@ def test_stretches_are_the_best_of_all_windows():
 
 def test_every_substitution_that_the_rule_allows_is_found():
     for n, subs in ((11, 2), (12, 2), (14, 1), (15, 3), (16, 3), (20, 4)):
-        block = decontamination.build([1], [" ".join(f"w{k}" for k in range(n))])
+        item = " ".join(f"w{k}" for k in range(n))
         ways = list(itertools.combinations(range(n), subs))
         texts = [" ".join("zz" if k in set(s) else f"w{k}" for k in range(n)) for s in ways]
-        found = {r for r, *_ in decontamination.overlaps(pa.array(texts), block)}
-        assert len(found) == len(ways), n
+        assert len(found_in(texts, item)) == len(ways), n
 
 
 def test_short_items_are_found():
     for n in range(1, 11):
-        block = decontamination.build([1], [" ".join(f"w{k}" for k in range(n))])
+        item = " ".join(f"w{k}" for k in range(n))
         for gone in range(n - -(-4 * n // 5) + 1):
             ways = list(itertools.combinations(range(n), gone))
             texts = [" ".join(["x"] * 3 + ["zz" if k in s else f"w{k}" for k in range(n)] + ["y"] * 9) for s in ways]
             want = {i for i, s in enumerate(ways) if best_stretch([k not in s for k in range(n)], -(-4 * n // 5))}
-            assert {r for r, *_ in decontamination.overlaps(pa.array(texts), block)} == want == set(range(len(ways))), (n, gone)
-        assert not decontamination.overlaps(pa.array(["x y z", "", None]), block)
+            assert found_in(texts, item) == want == set(range(len(ways))), (n, gone)
+        assert not found_in(["x y z", "", None], item)
 
 
 # --- personal data ------------------------------------------------------------------------------------
