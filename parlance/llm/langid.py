@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import small_batches
 
-DIMS, PER_LANG, MAX_SAMPLE, CENTROIDS, MAX_LANGS, SLACK = 8192, 400, 4000, 3, 256, 0.2
+DIMS, PER_LANG, MAX_SAMPLE, CENTROIDS, SLACK = 8192, 400, 4000, 3, 0.2
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -91,23 +91,23 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG, k: int = CENTROIDS) -> Model:
-    """Learns from about 1.2 * ``per_lang`` texts per language, and 1.2 * 4000 in all, chosen by a hash of the key.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG, most: int = MAX_SAMPLE, k: int = CENTROIDS) -> Model:
+    """Learns every language, from about 1.2 * ``per_lang`` texts of each, and of ``most`` in all, chosen by a hash of the key.
 
-    Rows with a null text or language, or without letters, teach nothing. The bounded sample, and
-    one count per language (at most 256 languages), is all that reaches the driver, as feature counts.
+    However many languages there are, each teaches one text at least, that with the least hash.
+    Rows with a null text or language, or without letters, teach nothing. The bounded sample, as
+    feature counts, and one count per language are all that reaches the driver.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null and t rlike '\\\\p{L}'")
-    n = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
+    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("k"), F.lit("")), F.lit("langid")), 11).cast("double") / F.lit(float(1 << 53))
+    n = {r["l"]: (r["n"], r["d"]) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("d")).collect()}
     if not n:
         return Model((), np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(40))
-    per_lang = min(per_lang, MAX_SAMPLE // len(n))
-    rate = F.lit(0.0)
-    for name, c in n.items():
-        rate = F.when(F.col("l") == F.lit(name), F.lit(min(1.0, 1.2 * per_lang / c))).otherwise(rate)
-    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("k"), F.lit("")), F.lit("langid")), 11).cast("double") / F.lit(float(1 << 53))
-    rows = rows.filter(draw < rate)
+    share = max(1, min(per_lang, most // len(n)))
+    until = {name: max(1.2 * share / c, np.nextafter(least, 2)) for name, (c, least) in n.items()}
+    rate = F.create_map(*[F.lit(x) for name in sorted(until) for x in (name, float(until[name]))])
+    rows = rows.filter(draw < F.element_at(rate, F.col("l")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -39,6 +39,19 @@ def test_language_of_nothing(spark):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def test_every_one_of_many_languages_is_learnt(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    own = {f"l{i:03}": [word() for _ in range(4)] for i in range(300)}
+    rows = [(7 * i + k, " ".join(rng.choices(w, k=30)), name) for i, (name, w) in enumerate(own.items()) for k in range(1 + 4 * (i % 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (4000, 10):
+        model = langid.fit(df, most=most)
+        assert set(model.langs) == set(own)
+    got = langid.predict(df, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.99 * len(rows)
+
+
 def test_long_texts_are_read_whole():
     a, n = langid.counts([langid.clean("the " * 5000 + "été")])
     b, m = langid.counts([langid.clean("the " * 5000)])
