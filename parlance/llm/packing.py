@@ -9,7 +9,7 @@ holds more than ``budget`` tokens, padding included.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import gapless_rank, materialize
@@ -52,6 +52,12 @@ def optimal_bounds(histogram: dict[int, int], n_buckets: int) -> list[int]:
     return bounds[::-1]
 
 
+def slice_of(*parts: Column) -> Column:
+    """One of ``SLICES`` slices by the first digits of an MD5 sum, which SQL engines have alike."""
+    digits = F.left(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), F.lit(6))
+    return F.conv(digits, 16, 10).cast("long") % SLICES
+
+
 def pack(docs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per sequence: doc_id, piece, n_tokens, bucket, bucket_len, batch, position.
 
@@ -59,7 +65,8 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, bu
     and one with the rest; nothing is dropped. A document without words (null, empty, blank) gives
     one row with n_tokens 0 and null bucket, bucket_len, batch and position. Repeated rows and ids
     each count; ties in length share a bucket; an empty table gives an empty table; other columns
-    are not read. Sequences of a bucket are ordered by (id mod 1024, id, piece).
+    are not read. Sequences of a bucket are ordered by (slice, id, piece, n_tokens), the slice being
+    one of 1024 by a hash of the three, so that no kind of ids, null ones included, fills one slice.
     """
     if max_len < 1 or n_buckets < 1 or budget < max_len:
         raise ValueError("max_len and n_buckets must be positive, and budget at least max_len")
@@ -79,9 +86,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, bu
             here = (F.col("n_tokens") > 0) & (F.col("n_tokens") <= most)
             bucket, bound = bucket.when(here, b), bound.when(here, most)
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("bucket_len", bound.cast("long"))
-    whole = dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
-    number = F.coalesce(F.col("doc_id"), F.lit(0)) if whole else F.xxhash64("doc_id")
-    full = rows.filter("bucket is not null").withColumn("_b", F.pmod(number, F.lit(SLICES)))
+    full = rows.filter("bucket is not null").withColumn("_b", slice_of(F.col("doc_id"), F.col("piece"), F.col("n_tokens")))
     full = gapless_rank(full, ["bucket"], "_b", [F.col("doc_id"), F.col("piece"), F.col("n_tokens")], "_r")
     size = F.floor(F.lit(budget) / F.col("bucket_len")).cast("long")
     full = full.withColumn("batch", F.floor(F.col("_r") / size).cast("long")).withColumn("position", (F.col("_r") % size).cast("int"))
@@ -118,7 +123,7 @@ def packing_sql(source: str = "documents", max_len: int = MAX_LEN, n_buckets: in
     ctes.append("put AS (SELECT s.*, (SELECT min(bucket_len) FROM bounds WHERE bucket_len >= s.n_tokens) AS bl FROM seqs s)")
     ctes.append(
         "ranked AS (SELECT p.doc_id, p.piece, p.n_tokens, b.bucket, b.bucket_len, row_number() OVER (PARTITION BY b.bucket ORDER BY "
-        f"((coalesce(p.doc_id, 0) % {SLICES}) + {SLICES}) % {SLICES}, p.doc_id, p.piece, p.n_tokens) - 1 AS r FROM put p JOIN bounds b ON b.bucket_len = p.bl WHERE p.n_tokens > 0)"
+        f"('0x' || left(md5(concat_ws(':', p.doc_id, p.piece, p.n_tokens)), 6))::INT % {SLICES}, p.doc_id NULLS FIRST, p.piece, p.n_tokens) - 1 AS r FROM put p JOIN bounds b ON b.bucket_len = p.bl WHERE p.n_tokens > 0)"
     )
     return (
         "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, piece, n_tokens, CAST(bucket AS INTEGER) AS bucket, CAST(bucket_len AS BIGINT) AS bucket_len, CAST(r // ({budget} // bucket_len) AS BIGINT) AS batch,"

@@ -479,6 +479,20 @@ def test_packed_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_packing_of_ids_with_a_stride_and_of_null_ids(spark):
+    rows = [(1024 * i if i % 3 else None, "w " * (1 + i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    slices = df.select(packing.slice_of(F.col("doc_id"), F.lit(0).cast("long"), F.lit(1).cast("long")).alias("s"), "doc_id").filter("doc_id is not null")
+    assert slices.select("s").distinct().count() > 800
+    view = duckdb.from_df(df.toPandas().astype({"doc_id": "Int64"})) if hasattr(duckdb, "from_df") else None
+    got = sorted(map(tuple, packing.pack(df, max_len=7, n_buckets=3, budget=14).collect()), key=repr)
+    c = duckdb.connect()
+    c.register("docs", view.df() if view is not None else df.toPandas())
+    c.sql("CREATE TABLE t AS SELECT doc_id::BIGINT AS doc_id, text FROM docs")
+    want = sorted(c.sql(packing.packing_sql("t", 7, 3, 14)).fetchall(), key=repr)
+    assert got == want
+
+
 def test_packing_agrees_with_sql(spark, tables):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
