@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +88,17 @@ def decode(data: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=U)
 
 
-def bounds(keys: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
-    """Where each bucket of ascending keys of ``bits`` bits begins, and the end."""
-    first = [-(-(b << bits) // n_buckets) for b in range(n_buckets)]
-    return np.append(np.searchsorted(keys, np.array(first, U)), len(keys))
+def parts(keys: np.ndarray, bits: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that ascending keys of ``bits`` bits fall into, and where each begins, and the end.
+
+    The key space is cut into ``n_buckets`` equal ranges; the work grows with the keys alone.
+    """
+    if bits > 32:
+        bucket = (keys >> U(bits - 32)) * U(n_buckets) >> U(32)
+    else:
+        bucket = keys * U(n_buckets) >> U(bits)
+    first = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1])) if len(keys) else np.zeros(0, np.int64)
+    return bucket[first].astype(np.int64), np.append(first, len(keys))
 
 
 def short(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -111,15 +119,14 @@ def exchange(packs: DataFrame, emit: Emit, answer: Callable[[str, list[np.ndarra
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in each_pack(batches):
             for kind, keys, bits, values in emit(pack):
-                at = bounds(keys, bits, n_buckets)
-                full = np.flatnonzero(np.diff(at))
+                full, at = parts(keys, bits, n_buckets)
                 yield pa.record_batch(
                     [
                         pa.array(full, pa.int32()),
                         pa.array([pack.number] * len(full), pa.int64()),
                         pa.array([kind] * len(full), pa.string()),
-                        pa.array([encode(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
-                        pa.array([None if values is None else values[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()),
+                        pa.array([encode(keys[lo:hi]) for lo, hi in pairwise(at)], pa.binary()),
+                        pa.array([None if values is None else values[lo:hi].tobytes() for lo, hi in pairwise(at)], pa.binary()),
                     ],
                     names=["bucket", "pack", "kind", "keys", "vals"],
                 )
@@ -147,12 +154,12 @@ def _nibbles(codes: np.ndarray) -> bytes:
 def returned(pack: Pack, kind: str, keys: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
     """The codes that came back for the keys that ``emit`` gave."""
     out = np.zeros(len(keys), np.uint8)
-    at = bounds(keys, bits, n_buckets)
-    for b in np.flatnonzero(np.diff(at)):
+    full, at = parts(keys, bits, n_buckets)
+    for b, (lo, hi) in zip(full, pairwise(at), strict=True):
         data = pack.codes.get((kind, int(b)))
         if data is not None:
             two = np.frombuffer(data, np.uint8)
-            out[at[b] : at[b + 1]] = np.stack([two & 15, two >> 4], 1).ravel()[: at[b + 1] - at[b]]
+            out[lo:hi] = np.stack([two & 15, two >> 4], 1).ravel()[: hi - lo]
     return out
 
 
