@@ -5,7 +5,8 @@ weight and endless in rank, into which hashed darts are thrown: their ranks are
 and each dart carries a coordinate and, in the top layer of a fractional weight, a height. Only
 the darts up to a rank at which every coordinate has been hit are thrown, about
 ``t * (log t + 3)`` of them however long the text is; the earliest dart of each coordinate is the
-signature. Two texts agree in a coordinate with their weighted Jaccard similarity as the odds.
+signature. Two texts agree in a coordinate with their weighted Jaccard similarity as the odds. A
+shingle's weight is 1, or, if asked, the number of times that it stands in the text.
 
 Equal texts are one node. Nodes with an equal band are joined to the smallest of them and the
 pairs' exact similarity is taken from the whole texts; in buckets that then hold nodes of several
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import U, between, chunks, drop, materialize, mix, prefix, ragged, release, small_batches, utf8, word_hashes, words
 from parlance.llm.components import components
 
-SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 25, 5, 256
+SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, BLOCK_BYTES = 5, 0.8, 25, 5, 256, 8_000_000
 _ONE = 1 << 32  # ranks are whole numbers of 2**-32, so that machines agree on them
 
 
@@ -51,6 +52,18 @@ def distinct(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h[at], np.diff(np.append(at, len(h))), np.searchsorted(row[at], np.arange(len(offs)))
 
 
+def elements(texts: pa.Array, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The set of elements of each text that similarity compares: its shingles, or each occurrence of them."""
+    h, n, offs = distinct(*shingles(texts))
+    if not counted:
+        return h, offs
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    with np.errstate(over="ignore"):
+        h = mix(np.repeat(h, n) + ragged(n).astype(U) * U(0xA24BAED4963EE407))
+    h, _, offs = distinct(h, np.searchsorted(np.repeat(row, n), np.arange(len(offs))))
+    return h, offs
+
+
 def dart_signatures(h: np.ndarray, weight: np.ndarray, offs: np.ndarray, t: int) -> np.ndarray:
     """The rank of the earliest dart of each of ``t`` coordinates, for each row of weighted elements.
 
@@ -116,10 +129,10 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """The exact similarity of the two columns' sets of shingles, row by row."""
-    ha, _, oa = distinct(*shingles(a))
-    hb, _, ob = distinct(*shingles(b))
+def jaccard(a: pa.Array, b: pa.Array, counted: bool = False) -> np.ndarray:
+    """The exact similarity of the two columns' sets of shingles, or bags of them, row by row."""
+    ha, oa = elements(a, counted)
+    hb, ob = elements(b, counted)
     both, _, offs = (None, None, None) if not len(ha) or not len(hb) else _merge(ha, oa, hb, ob)
     na, nb = np.diff(oa), np.diff(ob)
     union = np.diff(offs) if offs is not None else na + nb
@@ -140,7 +153,7 @@ def node_of(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, counted: bool = False) -> DataFrame:
     """doc_id, node and the band keys of every row; wordless texts have no keys."""
     kind = dict(docs.dtypes)[key]
     small_batches(docs.sparkSession)
@@ -150,8 +163,9 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> Dat
             column = b.column("text")
             for lo, hi in chunks(utf8(column)[1], 1_000_000):
                 h, offs = shingles(column.slice(lo, hi - lo))
-                h, _, offs = distinct(h, offs)
-                keys = band_keys(dart_signatures(h, np.ones(len(h)), offs, bands * rows), bands, rows)
+                h, n, offs = distinct(h, offs)
+                weight = n.astype(np.float64) if counted else np.ones(len(h))
+                keys = band_keys(dart_signatures(h, weight, offs, bands * rows), bands, rows)
                 n = np.where(np.diff(offs) > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("node").slice(lo, hi - lo), lists], names=["doc_id", "node", "bands"])
@@ -159,38 +173,43 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> Dat
     return docs.select(F.col(key).alias("doc_id"), node_of(text).alias("node"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, counted: bool = False) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are at least ``threshold`` alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ta, tb = b.column("ta"), b.column("tb")
             for lo, hi in chunks(utf8(ta)[1] + utf8(tb)[1], 2_000_000):
-                ok = pa.array(jaccard(ta.slice(lo, hi - lo), tb.slice(lo, hi - lo)) >= threshold - 1e-12)
+                ok = pa.array(jaccard(ta.slice(lo, hi - lo), tb.slice(lo, hi - lo), counted) >= threshold - 1e-12)
                 yield pa.RecordBatch.from_arrays([b.column("a").slice(lo, hi - lo), b.column("b").slice(lo, hi - lo)], names=["a", "b"]).filter(ok)
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) for every text that has a near duplicate."""
+def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text", threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
+    """(node, root) for every text that has a near duplicate.
+
+    Copies are merged before anything is dealt out by node, on the map side, so a text that a third
+    of all rows hold is one row from each task.
+    """
     spark = docs.sparkSession
     rows = sketch.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     rows = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").join(rows, "band")
     buckets = materialize(rows.select("band", "node", "hub"), "buckets")
     release(spark)
     found = buckets.select("node").distinct()
-    texts = docs.select(node_of(text).alias("node"), F.col(text).alias("text")).join(found, "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(node_of(text).alias("node"), F.col(text).alias("text")).dropDuplicates(["node"]).join(found, "node", "left_semi")
     texts = materialize(texts, "texts")
     release(spark)
     pairs = materialize(buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    edges = materialize(verified(pairs, texts, threshold), "links")
+    edges = materialize(verified(pairs, texts, threshold, counted), "links")
     labels = components(edges, "a", "b")
     named = buckets.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = named.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "n")
-    open_ = materialize(named.join(split, "band"), "open-buckets")
-    more = materialize(cross_links(open_, sketch, texts, threshold), "links")
+    split = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    open_ = named.join(split, "band").join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    open_ = materialize(open_, "open-buckets")
+    more = materialize(cross_links(open_, sketch, texts, threshold, counted), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more), "a", "b")
     labels = materialize(labels, "labels")
@@ -199,18 +218,19 @@ def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text",
     return labels
 
 
-def cross_links(named: DataFrame, sketch: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different components inside the buckets of ``named`` (band, n, node, root).
+def cross_links(named: DataFrame, sketch: DataFrame, texts: DataFrame, threshold: float, counted: bool = False) -> DataFrame:
+    """Links (a, b) between different components inside the buckets of ``named`` (band, node, root, size).
 
     Every pair of nodes of one bucket but two components is compared once, in the first band that
-    both share, block against block of about ``BLOCK`` nodes. A task holds two blocks and returns at
-    most one link for each two components, so neither pairs nor whole buckets become rows.
+    both share, block against block of about ``BLOCK`` nodes and ``BLOCK_BYTES`` of text (a longer
+    text is a block). A task holds two blocks and returns at most one link for each two components,
+    so neither pairs nor whole buckets become rows.
     """
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = named.withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    many = named.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int").alias("_k"))
+    rows = named.join(many, "band").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
     rows = rows.select("band", "node", "root", "_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j"))
     rows = rows.select("band", "node", "root", F.col("_i").alias("own"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
-    keys = sketch.select("node", "bands").join(named.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    keys = sketch.select("node", "bands").dropDuplicates(["node"]).join(named.select("node").distinct(), "node", "left_semi")
     rows = rows.join(keys.join(texts, "node"), "node")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -222,7 +242,7 @@ def cross_links(named: DataFrame, sketch: DataFrame, texts: DataFrame, threshold
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not len(left) or not len(right) or (root == root[0]).all():
             return none
-        h, _, offs = distinct(*shingles(table.column("text").combine_chunks()))
+        h, offs = elements(table.column("text").combine_chunks(), counted)
         size = np.diff(offs)
         row = np.repeat(np.arange(len(node)), size)
         both = np.zeros((len(left), len(right)), np.float32)
@@ -255,19 +275,20 @@ def cross_links(named: DataFrame, sketch: DataFrame, texts: DataFrame, threshold
     return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, n_texts.
 
     A class is a connected component of texts whose sets of five-word shingles are at least
-    ``threshold`` alike; class_id is its smallest doc_id, class_size its rows, n_texts its
-    different texts. Null and empty texts are copies of each other; texts of under five words are
-    one shingle; wordless texts are alike only when equal. Repeated rows and ids each have a row;
-    null ids are allowed (a class of null ids only has a null class_id). An empty table gives an
-    empty table; other columns are not read. Texts of similarity 0.8 share a band with odds of
-    0.99995, more similar ones more surely.
+    ``threshold`` alike (``counted``: bags, in which a shingle weighs as often as it stands there);
+    class_id is its smallest doc_id, class_size its rows, n_texts its different texts. Null and
+    empty texts are copies of each other; texts of under five words are one shingle; wordless texts
+    are alike only when equal; texts of any length are compared whole. Repeated rows and ids each
+    have a row; null ids are allowed (a class of null ids only has a null class_id). An empty table
+    gives an empty table; other columns are not read. Texts of similarity 0.8 share a band with odds
+    of 0.99995, more similar ones more surely.
     """
-    sketch = materialize(sketches(docs, key, text, bands, rows), "sketches")
-    labels = near_duplicate_nodes(docs, sketch, text, threshold)
+    sketch = materialize(sketches(docs, key, text, bands, rows, counted), "sketches")
+    labels = near_duplicate_nodes(docs, sketch, text, threshold, counted)
     nodes = sketch.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
@@ -275,17 +296,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ba
     return sketch.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size", "n_texts")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest id of each class; one row where ids or rows repeat."""
-    sketch = materialize(sketches(docs, key, text, bands, rows), "sketches")
-    labels = near_duplicate_nodes(docs, sketch, text, threshold)
-    nodes = sketch.groupBy("node").agg(F.min("doc_id").alias("least"))
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, of the smallest id of each class.
+
+    One row stays where ids or rows repeat; a null id comes after the others. The rows are joined by
+    text and id together, so copies of one text do not meet in one task.
+    """
+    sketch = materialize(sketches(docs, key, text, bands, rows, counted), "sketches")
+    labels = near_duplicate_nodes(docs, sketch, text, threshold, counted)
+    nodes = sketch.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.least").alias("_least"), F.col("m.node").alias("_node"))
-    kept = docs.withColumn("_node", node_of(text)).join(first, "_node")
-    kept = kept.filter(F.col(key).eqNullSafe(F.col("_least"))).drop("_least")
+    first = named.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.least.doc_id").alias("id"), F.col("m.node").alias("node"))
+    rows = docs.select(node_of(text).alias("node"), F.col(key).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
+    same = (F.col("d.node") == F.col("f.node")) & F.col("d.id").eqNullSafe(F.col("f.id"))
     # equal id and text: any one row
-    return kept.dropDuplicates(["_node"]).drop("_node")
+    return rows.join(first.alias("f"), same).select("d.node", "d.id", "d.row").dropDuplicates(["node", "id"]).select("row.*")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,18 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute(rows):
-    sets = [shingle_set(t) for _, t in rows]
+def shingle_bag(text):
+    seen = defaultdict(int)
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    out = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        out.add((tuple(w[i : i + 5]), seen[tuple(w[i : i + 5])]))
+        seen[tuple(w[i : i + 5])] += 1
+    return out
+
+
+def brute(rows, of=shingle_set):
+    sets = [of(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -66,6 +76,43 @@ def test_classes(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute(rows)})
 
 
+def test_counted_shingles_weigh_as_often_as_they_stand(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randint(0, 400)}" for _ in range(8))
+    rows = []
+    for _ in range(25):
+        lines = [line() for _ in range(rng.randint(1, 4))]
+        for _ in range(rng.randint(1, 4)):
+            rows.append((len(rows), " ".join(x for x in lines for _ in range(rng.choice([1, 1, 2, 5])))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, shingle_bag)
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(df, counted=True).collect()) == want != brute(rows)
+    assert sorted(r.doc_id for r in one_of_each(df, counted=True).collect()) == sorted({c for _, c in want})
+
+
+def test_names_of_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(5, "a b c d e f", 1, "n", 2, "r", None), (3, "a b c d e f", 4, "m", 5, "s", None)], "doc_id long, text string, _node int, node string, id int, row string, `a.b` int")
+    assert [tuple(r) for r in one_of_each(df).collect()] == [(3, "a b c d e f", 4, "m", 5, "s", None)] and one_of_each(df).columns == df.columns
+
+
+def test_long_texts_are_blocks_of_their_own(spark, monkeypatch):
+    from parlance.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1500)
+    rng = random.Random(17)
+    base = [f"w{rng.randint(0, 9000)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 7)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 9000)}"
+        rows.append((i, " ".join(copy)))
+    long = " ".join(f"y{i}" for i in range(60_000))
+    rows += [(100, long), (101, long + " end"), (102, long[: len(long) // 2])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.class_id) for r in got.collect()) == brute(rows)
+
+
 def test_a_family_on_both_sides_of_the_threshold(spark):
     rng = random.Random(7)
     base = [f"w{rng.randint(0, 9000)}" for _ in range(150)]
