@@ -154,7 +154,7 @@ def node_of(text: str):
 
 
 def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, counted: bool = False) -> DataFrame:
-    """doc_id, node and the band keys of every row; wordless texts have no keys."""
+    """doc_id, node, bytes of text and the band keys of every row; wordless texts have no keys."""
     kind = dict(docs.dtypes)[key]
     small_batches(docs.sparkSession)
 
@@ -168,9 +168,9 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, counte
                 keys = band_keys(dart_signatures(h, weight, offs, bands * rows), bands, rows)
                 n = np.where(np.diff(offs) > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("node").slice(lo, hi - lo), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("node").slice(lo, hi - lo), b.column("size").slice(lo, hi - lo), lists], names=["doc_id", "node", "size", "bands"])
 
-    return docs.select(F.col(key).alias("doc_id"), node_of(text).alias("node"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, bands array<long>")
+    return docs.select(F.col(key).alias("doc_id"), node_of(text).alias("node"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, node long, size int, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, counted: bool = False) -> DataFrame:
@@ -194,9 +194,9 @@ def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text",
     of all rows hold is one row from each task.
     """
     spark = docs.sparkSession
-    rows = sketch.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
+    rows = sketch.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band"))
     rows = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").join(rows, "band")
-    buckets = materialize(rows.select("band", "node", "hub"), "buckets")
+    buckets = materialize(rows.select("band", "node", "size", "hub"), "buckets")
     release(spark)
     found = buckets.select("node").distinct()
     texts = docs.select(node_of(text).alias("node"), F.col(text).alias("text")).dropDuplicates(["node"]).join(found, "node", "left_semi")
@@ -205,10 +205,9 @@ def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text",
     pairs = materialize(buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     edges = materialize(verified(pairs, texts, threshold, counted), "links")
     labels = components(edges, "a", "b")
-    named = buckets.select("band", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    open_ = named.join(split, "band").join(texts.select("node", F.octet_length("text").alias("size")), "node")
-    open_ = materialize(open_, "open-buckets")
+    named = buckets.select("band", "node", "size").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = named.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    open_ = materialize(named.drop("size").join(split.filter("lo < hi").select("band", "n", "bytes"), "band"), "open-buckets")
     more = materialize(cross_links(open_, sketch, texts, threshold, counted), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more), "a", "b")
@@ -219,15 +218,15 @@ def near_duplicate_nodes(docs: DataFrame, sketch: DataFrame, text: str = "text",
 
 
 def cross_links(named: DataFrame, sketch: DataFrame, texts: DataFrame, threshold: float, counted: bool = False) -> DataFrame:
-    """Links (a, b) between different components inside the buckets of ``named`` (band, node, root, size).
+    """Links (a, b) between different components inside the buckets of ``named`` (band, node, root, and the bucket's n and bytes).
 
     Every pair of nodes of one bucket but two components is compared once, in the first band that
     both share, block against block of about ``BLOCK`` nodes and ``BLOCK_BYTES`` of text (a longer
     text is a block). A task holds two blocks and returns at most one link for each two components,
     so neither pairs nor whole buckets become rows.
     """
-    many = named.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int").alias("_k"))
-    rows = named.join(many, "band").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    rows = named.withColumn("_k", blocks).withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
     rows = rows.select("band", "node", "root", "_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j"))
     rows = rows.select("band", "node", "root", F.col("_i").alias("own"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
     keys = sketch.select("node", "bands").dropDuplicates(["node"]).join(named.select("node").distinct(), "node", "left_semi")
