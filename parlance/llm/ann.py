@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard.
 
-Rows are dealt to shards by a hash of their id, about ``SHARD_ROWS`` to a shard, so one task holds
-one shard whatever the input. A shard's equal vectors become one node with its list of ids. The
-graph is hierarchical: every level holds the first nodes of a random order, each with a fixed
-number of neighbour slots in one flat array. Nodes are inserted in batches: the graph so far is
-searched for a whole batch in lockstep, candidates are thinned by the diversity rule, and links
-run both ways. An index is one row of binary arrays per shard; blocks of queries meet every shard
-and the shards' best are merged.
+Rows are dealt to shards by a hash of their id, about ``SHARD_ROWS`` to a shard and at most
+``SHARD_BYTES`` of vectors, so one task holds one shard whatever the input; a small table gives
+every core a shard, of ``LEAST_ROWS`` at least. A shard's equal vectors become one node with its
+list of ids. The graph is hierarchical: every level holds the first nodes of a random order, each
+with a fixed number of neighbour slots in one flat array. Nodes are inserted in batches: the graph
+so far is searched for a whole batch in lockstep, candidates are thinned by the diversity rule, and
+links run both ways. An index is one row of binary arrays per shard. A shard's row reaches a task
+once and the blocks of queries stream past it; the shards' best are merged.
 
 For inner products the vectors of a shard get one more coordinate that makes their norms equal, so
 that the graph is built by distance and searched by inner product.
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import materialize
 
-SHARD_ROWS, BLOCK_QUERIES, LINKS, EF_BUILD, EF_SEARCH = 4096, 512, 12, 48, 96
+SHARD_ROWS, SHARD_BYTES, LEAST_ROWS = 131_072, 64 << 20, 16_384
+BLOCK_QUERIES, BLOCKS_PER_TASK, LINKS, EF_BUILD, EF_SEARCH = 512, 64, 20, 96, 128
 
 
-def beam(adj: np.ndarray, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """The ``ef`` best nodes found for every row of ``q``, best first (-1: none), searching all rows in lockstep."""
+def beam(adj: np.ndarray, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 2, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``ef`` best nodes found for every row of ``q``, best first (-1: none), searching all rows in lockstep.
+
+    ``tally`` is told how many nodes were scored.
+    """
     nq, rows = len(q), np.arange(len(q))[:, None]
     ids = np.full((nq, ef), -1, np.int32)
     score = np.full((nq, ef), -np.inf, np.float32)
@@ -54,6 +59,8 @@ def beam(adj: np.ndarray, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: i
         seen[alive[:, None], near] = True
         new = np.einsum("qd,qkd->qk", q[alive], x[near])
         new[near < 0] = -np.inf
+        if tally is not None:
+            tally.append(int((near >= 0).sum()))
         all_score = np.concatenate([score[alive], new], 1)
         order = np.argsort(-all_score, 1, kind="stable")[:, :ef]
         score[alive] = np.take_along_axis(all_score, order, 1)
@@ -144,7 +151,8 @@ def descend(upper: list[np.ndarray], x: np.ndarray, q: np.ndarray) -> np.ndarray
 
 
 def augmented(v: np.ndarray) -> np.ndarray:
-    """Rows with one more coordinate, all of the largest row's norm."""
+    """Rows in proportion, none longer than 1, with one more coordinate that makes them all of the largest row's norm."""
+    v = v / np.abs(v).max()  # whatever the numbers are, squares and single precision hold them
     norm = (v * v).sum(1)
     return np.concatenate([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], 1).astype(np.float32)
 
@@ -152,9 +160,13 @@ def augmented(v: np.ndarray) -> np.ndarray:
 _INDEX = "shard int, dim int, vectors binary, member_offs binary, members binary, level_sizes array<int>, neighbours array<binary>"
 
 
-def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, shard_rows: int | None = None) -> DataFrame:
     """One row per shard: vectors (doubles), the ids of each, and the flat neighbour arrays of each level."""
-    sizes = {r["dim"]: -(-r["n"] // shard_rows) for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    sizes = {}
+    for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect():
+        most = shard_rows or max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * r["dim"])))
+        sizes[r["dim"]] = max(-(-r["n"] // most), 1 if shard_rows else min(cores, r["n"] // LEAST_ROWS))
     n = F.lit(1)
     for dim, s in sizes.items():
         n = F.when(F.size("v") == dim, F.lit(s)).otherwise(n)
@@ -193,14 +205,15 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 def search_shard(index: dict, q: np.ndarray, ids: np.ndarray, k: int, ef: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query's row, ids, scores) of the best ``k`` of a shard for each query; equal vectors by their smallest ids."""
     x, levels, offs, members = index["x"], index["levels"], index["offs"], index["members"]
-    flat = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
+    largest = np.abs(q).max(1, keepdims=True)
+    flat = np.concatenate([q / largest, np.zeros((len(q), 1))], 1).astype(np.float32)
     out = []
     for lo in range(0, len(q), 128):
         part = flat[lo : lo + 128]
         got, _ = beam(levels[0], index["graph"], part, descend(levels[1:], index["graph"], part), max(ef, k + 2))
         for i, row in enumerate(got):
             nodes = row[row >= 0].astype(np.int64)
-            exact = x[nodes] @ q[lo + i]
+            exact = (x[nodes] * q[lo + i]).sum(1)  # row by row, so equal rows have equal products
             best = np.argsort(-exact, kind="stable")[: k + 1]
             cut = exact >= exact[best[-1]]
             nodes, exact = nodes[cut], exact[cut]
@@ -222,18 +235,21 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda e: e != 0))
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None, ef: int = EF_SEARCH) -> DataFrame:
     """Each query's ``k`` best rows of ``df`` by inner product: query_id, rank, vec_id, score.
 
     Rows with the query's own id are no candidates. Vectors that are null, empty, zero or hold null
     or non-finite components take no part, nor do null ids; vectors of different lengths do not meet.
     Ties go to the smaller id; equal vectors are all indexed and each can be returned; fewer than
-    ``k`` candidates give fewer rows; an empty table gives none. Other columns are not read.
+    ``k`` candidates give fewer rows; an empty table gives none. Components of any finite size are
+    found alike; a score that doubles cannot hold is infinite. Other columns are not read.
     """
     index = materialize(build_index(usable(df, key, vector), shard_rows), "ann-index")
     asked = usable(queries, key, vector)
     n = asked.count()
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-n // BLOCK_QUERIES)))).cast("int")
+    blocks = max(1, -(-n // BLOCK_QUERIES))
+    groups = -(-blocks // BLOCKS_PER_TASK)
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -241,24 +257,28 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
 
     grouped = asked.withColumn("dim", F.size("v")).withColumn("block", block).groupBy("dim", "block").applyInArrow(gather, "dim int, block int, ids binary, q binary")
     shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
-    spread = grouped.join(shards, "dim").select("dim", "ids", "q", F.explode(F.sequence(F.lit(0), "last")).alias("shard"))
+    asks = grouped.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), (F.col("block") % groups).alias("group"), F.lit(1).alias("ask"), "ids", "q")
+    held = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("ask", F.lit(0))
+    both = held.unionByName(asks, allowMissingColumns=True)
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dim", "shard", "group").sortWithinPartitions("dim", "shard", "group", "ask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None
+        at = {}
         for b in batches:
+            column = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             for r in range(b.num_rows):
-                get = lambda c: b.column(b.schema.get_field_index(c))[r].as_py()  # noqa: B023, E731
-                if (get("dim"), get("shard")) != at:
-                    at = (get("dim"), get("shard"))
-                    x = np.frombuffer(get("vectors"), np.float64).reshape(-1, at[0])
+                get = lambda c: column[c][r].as_py()  # noqa: B023, E731
+                if get("ask") == 0:  # a shard; the queries for it follow
+                    x = np.frombuffer(get("vectors"), np.float64).reshape(-1, get("dim"))
                     levels = [np.frombuffer(a, np.int32).reshape(s, -1) for a, s in zip(get("neighbours"), get("level_sizes"), strict=True)]
-                    held = {"x": x, "graph": augmented(x), "levels": levels, "offs": np.frombuffer(get("member_offs"), np.int64), "members": np.frombuffer(get("members"), np.int64)}
+                    at = {"x": x, "graph": augmented(x), "levels": levels, "offs": np.frombuffer(get("member_offs"), np.int64), "members": np.frombuffer(get("members"), np.int64)}
+                    continue
                 ids = np.frombuffer(get("ids"), np.int64)
-                got = search_shard(held, np.frombuffer(get("q"), np.float64).reshape(len(ids), -1), ids, k, ef)
+                got = search_shard(at, np.frombuffer(get("q"), np.float64).reshape(len(ids), -1), ids, k, ef)
                 row, who, score = (np.concatenate(c) for c in zip(*got, strict=True))
                 yield pa.record_batch([pa.array(ids[row]), pa.array(who), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = spread.join(index, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -563,6 +563,42 @@ def test_recall(spark, tables):
     assert hits / total >= 0.95
 
 
+def test_the_graph_scores_a_part_of_its_nodes():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(9000, 24))
+    order, levels = ann.build(ann.augmented(x))
+    graph, q = ann.augmented(x[order]), rng.normal(size=(64, 24))
+    flat = np.concatenate([q, np.zeros((64, 1))], 1).astype(np.float32)
+    tally = []
+    got, _ = ann.beam(levels[0], graph, flat, ann.descend(levels[1:], graph, flat), ann.EF_SEARCH, tally=tally)
+    exact = np.argsort(-(q @ x[order].T), 1)[:, :20]
+    assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(got, exact)]) >= 0.9
+    assert sum(tally) / 64 < 0.5 * len(x)
+
+
+def test_recall_over_several_shards_and_groups_of_queries(spark, tables, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 8)
+    monkeypatch.setattr(ann, "BLOCKS_PER_TASK", 2)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0"), shard_rows=300).collect()
+    score = x[::20] @ x.T
+    score[np.arange(60), np.arange(0, 1200, 20)] = -np.inf
+    want = {(20 * q, int(i)) for q, row in enumerate(np.argsort(-score, 1)[:, :20]) for i in row}
+    assert len(got) == 1200 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.95 * len(want)
+
+
+def test_huge_components_are_found_alike(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 4))
+    near = []
+    for f in (1.0, 1e150, 1e-150):
+        df = spark.createDataFrame([(i, (v * f).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        near.append(sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df, k=3).collect()))
+    assert near[0] == near[1] == near[2]
+
+
 def test_equal_vectors_small_shards_and_bad_rows(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)) * rng.uniform(0.5, 2, (300, 1))
