@@ -14,6 +14,8 @@ come near to IC(e) itself (``IC(e) / remove``) are removed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,38 +48,59 @@ _VALUE = {"email": "lower({v})", "ip": "{v}", "card": _DIGITS, "phone": _DIGITS}
 _NONE = "cast(array() AS array<struct<s: int, e: int, v: string>>)"
 
 
+_SLICE, _CHUNK = 512, 4096  # parts and characters that are gone through at once, so that long texts take linear time
+
+
+def _matches(p: str, want: Callable[[str], str], made: Callable[[str, str], str]) -> str:
+    """SQL of an array of every second part ``i`` of the array ``p`` that is wanted, made of it and of where it begins.
+
+    Running sums are kept within slices; those of whole slices are summed first.
+    """
+    sums = f"transform(sequence(0, (size({p}) - 1) div {_SLICE}), g -> aggregate(slice({p}, g * {_SLICE} + 1, {_SLICE}), 0, (a, x) -> a + length(x)))"
+    begins = f"aggregate({sums}, named_struct('at', 0, 'out', cast(array() AS array<int>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    within = (
+        f"aggregate(sequence(g * {_SLICE}, least((g + 1) * {_SLICE}, size({p})) - 1), named_struct('at', b, 'out', filter(array({made('0', '0')}), x -> false)), "
+        f"(a, i) -> named_struct('at', a.at + length({p}[i]), 'out', CASE WHEN i % 2 = 1 AND ({want('i')}) THEN concat(a.out, array({made('a.at', 'i')})) ELSE a.out END), a -> a.out)"
+    )
+    return f"flatten(transform({begins}, (b, g) -> {within}))"
+
+
+def _put(text: str, marks: str, instead: Callable[[str], str]) -> str:
+    """SQL of the text with something instead of each of the sorted marks ``m`` (s, e), given where those before it end."""
+    ends = f"transform(sequence(0, (size({marks}) - 1) div {_SLICE}), g -> array_max(transform(slice({marks}, g * {_SLICE} + 1, {_SLICE}), m -> m.e)))"
+    begins = f"aggregate({ends}, named_struct('at', 0, 'out', cast(array() AS array<int>)), (a, n) -> named_struct('at', greatest(a.at, n), 'out', concat(a.out, array(a.at))), a -> a.out)"
+    piece = lambda lo, hi: f"substring(array_join(slice(k, {lo} div {_CHUNK} + 1, ({hi}) div {_CHUNK} - {lo} div {_CHUNK} + 1), ''), {lo} % {_CHUNK} + 1, greatest({hi} - {lo}, 0))"
+    own = f"concat({piece('a.at', 'greatest(m.s, a.at)')}, {instead('a.at')})"
+    within = f"aggregate(slice({marks}, g * {_SLICE} + 1, {_SLICE}), named_struct('at', b, 'out', cast(array() AS array<string>)), (a, m) -> named_struct('at', greatest(a.at, m.e), 'out', concat(a.out, array({own}))), a -> a.out)"
+    rest = piece(f"array_max(transform({marks}, m -> m.e))", f"length({text})")
+    chunks = f"regexp_extract_all({text}, r'(?s).{{1,{_CHUNK}}}', 0)"
+    return f"transform(array({chunks}), k -> concat(array_join(flatten(transform({begins}, (b, g) -> {within})), ''), {rest}))[0]"
+
+
 def _spans(kind: str) -> Column:
     """The valid matches of a kind in column _text: start, end and normalised value."""
-    valid, value = _VALID[kind].format(v="p[x.i]"), _VALUE[kind].format(v="p[x.i]")
     # the text is split at marks put around the matches, so every second part is a match
-    return F.expr(
-        f"CASE WHEN {_GUARD[kind]} THEN transform(array(split(regexp_replace(_text, r'{PATTERNS[kind]}', '{_MARK}$0{_MARK}'), '{_MARK}')), p -> CASE WHEN size(p) > 1 THEN "
-        f"transform(filter(aggregate(sequence(1, size(p) - 1, 2), named_struct('at', length(p[0]), 'out', cast(array() AS array<struct<s: int, e: int, i: int>>)), "
-        f"(a, i) -> named_struct('at', a.at + length(p[i]) + length(p[i + 1]), 'out', concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(p[i]), 'i', i)))), a -> a.out), "
-        f"x -> {valid}), x -> named_struct('s', x.s, 'e', x.e, 'v', {value})) "
-        f"ELSE {_NONE} END)[0] ELSE {_NONE} END"
-    )
+    made = lambda at, i: f"named_struct('s', {at}, 'e', {at} + length(p[{i}]), 'v', {_VALUE[kind].format(v=f'p[{i}]')})"
+    found = _matches("p", lambda i: _VALID[kind].format(v=f"p[{i}]"), made)
+    return F.expr(f"CASE WHEN {_GUARD[kind]} THEN transform(array(split(regexp_replace(_text, r'{PATTERNS[kind]}', '{_MARK}$0{_MARK}'), '{_MARK}')), p -> CASE WHEN size(p) > 1 THEN {found} ELSE {_NONE} END)[0] ELSE {_NONE} END")
 
 
 def _whole(text: str) -> Column:
-    return F.translate(F.coalesce(F.col(text), F.lit("")), _MARK, "\x02")  # no pattern has either
+    return F.translate(F.coalesce(F.col("row")[text], F.lit("")), _MARK, "\x02")  # no pattern has either
 
 
 def scan(docs: DataFrame, text: str) -> DataFrame:
-    """Every row with _rid, the spans of each kind, and the number of words."""
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", _whole(text))
+    """Every row, as a struct, with _rid, the spans of each kind, and the number of words."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_rid")).withColumn("_text", _whole(text))
     found = [_spans(kind).alias(f"_{kind}") for kind in PATTERNS]
-    return rows.select(*[c for c in docs.columns], "_rid", *found, F.regexp_count("_text", F.lit(r"\p{L}+")).alias("_words"))
+    return rows.select("row", "_rid", *found, F.regexp_count("_text", F.lit(r"\p{L}+")).alias("_words"))
 
 
 def _holders(rows: DataFrame) -> DataFrame:
     """The rows with an entity: _rid, entities, _plain (the text, its entities blanked), _size (its words), _first (no copy of an earlier row)."""
     every = F.concat(*[F.transform(f"_{k}", lambda x, k=k: F.concat(F.lit(f"{k}:"), x["v"])) for k in PATTERNS])
     marks = F.sort_array(F.concat(*[F.transform(f"_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in PATTERNS]))
-    blank = (
-        "aggregate(_marks, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, m) -> named_struct('at', greatest(a.at, m.e), 'out', concat(a.out, array("
-        "substring(_text, a.at + 1, greatest(m.s - a.at, 0)), repeat(' ', m.e - greatest(a.at, m.s))))), a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))"
-    )
+    blank = _put("_text", "_marks", lambda at: f"repeat(' ', greatest(m.e - greatest({at}, m.s), 0))")
     held = rows.withColumn("entities", F.array_distinct(every)).filter(F.size("entities") > 0).withColumn("_marks", marks)
     held = held.select("_rid", "entities", F.expr(blank).alias("_plain"), F.xxhash64("_text").alias("_copy"))
     first = held.groupBy("_copy").agg(F.min("_rid").alias("_rid")).select("_rid", F.lit(True).alias("_first"))
@@ -125,11 +148,8 @@ def _places(held: DataFrame, flagged: DataFrame) -> DataFrame:
     one = F.collect_list(F.when(F.col("removed"), F.col("term"))).alias("gone"), F.collect_list(F.when(~F.col("removed"), F.col("term"))).alias("general")
     rows = flagged.groupBy("_rid").agg(*one).join(held.select("_rid", "_plain"), "_rid")
     rows = rows.withColumn("p", F.split(F.regexp_replace("_plain", F.lit(r"\p{L}+"), F.lit(f"{_MARK}$0{_MARK}")), _MARK))
-    words = F.expr(
-        "aggregate(sequence(1, size(p) - 1, 2), named_struct('at', length(p[0]), 'out', cast(array() AS array<struct<s: int, e: int, removed: boolean>>)), "
-        "(a, i) -> named_struct('at', a.at + length(p[i]) + length(p[i + 1]), 'out', CASE WHEN array_contains(gone, lower(p[i])) THEN concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(p[i]), 'removed', true))) "
-        "WHEN array_contains(general, lower(p[i])) THEN concat(a.out, array(named_struct('s', a.at, 'e', a.at + length(p[i]), 'removed', false))) ELSE a.out END), a -> a.out)"
-    )
+    told = lambda i: f"array_contains(gone, lower(p[{i}])) OR array_contains(general, lower(p[{i}]))"
+    words = F.expr(_matches("p", told, lambda at, i: f"named_struct('s', {at}, 'e', {at} + length(p[{i}]), 'removed', array_contains(gone, lower(p[{i}])))"))
     return rows.select("_rid", words.alias("_term"))
 
 
@@ -143,12 +163,11 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text
     names of these are replaced. Null texts are empty and stay null in clean_text; matches that fail
     their check are dropped and not tried again; repeated rows are treated alike and each counts;
     ties at a threshold are revealing; an empty table gives an empty table; null and repeated keys
-    are allowed. Whole texts are searched.
+    are allowed. Whole texts are searched, in time linear in their length and matches.
     """
     new = [*(f"n_{k}" for k in (*PATTERNS, "term")), "base_sha256", "spans", "clean_text"]
-    kept = docs.drop(*new)
-    if not with_text:
-        kept = kept.select(F.col(key), F.col(text))
+    mine = [c for c in docs.columns if (c not in new if with_text else c == key)]
+    kept = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*mine, text])])
     rows = materialize(scan(kept, text), "pii")
     texts = rows.withColumn("_text", _whole(text))
     held = materialize(_holders(texts), "holders")
@@ -173,11 +192,11 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text
         marks = [mark(k) for k in PATTERNS]
         marks.append(F.transform("_term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("r"))))
         out = out.withColumn("_marks", F.sort_array(F.concat(*marks)))
-        put = f"aggregate(_marks, named_struct('at', 0, 'out', ''), (a, m) -> named_struct('at', greatest(a.at, m.e), 'out', concat(a.out, CASE WHEN m.s >= a.at THEN concat(substring(`{text}`, a.at + 1, m.s - a.at), m.r) ELSE '' END)), a -> concat(a.out, substring(`{text}`, a.at + 1)))"
-        out = out.withColumn("clean_text", F.when(F.size("_marks") > 0, F.expr(put)).otherwise(F.col(text)))
+        put = _put("_whole", "_marks", lambda at: f"CASE WHEN m.s >= {at} THEN m.r ELSE '' END")
+        out = out.withColumn("_whole", F.col("row")[text]).withColumn("clean_text", F.when(F.size("_marks") > 0, F.expr(put)).otherwise(F.col("_whole")))
     else:
         new = new[:-1]
-    return out.select(*[c for c in kept.columns if with_text or c == key], *new)
+    return out.select(*[F.col("row")[c].alias(c) for c in mine], *new)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

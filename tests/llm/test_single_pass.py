@@ -231,6 +231,24 @@ def test_spans_are_those_of_the_plain_patterns(spark):
             assert got[i].clean_text == t
 
 
+def test_texts_with_very_many_matches(spark):
+    many = "a@b.c, 10.0.0.1 und +49 (0) 30 123456; " * 40_000
+    rows = [(1, many), (2, "é𝒳" * 300_000 + " a@b.c " + "x" * 300_000 + " 1.2.3.4")]
+    got = {r.doc_id: r for r in sanitisation.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_email, got[1].n_ip, got[1].n_phone) == (40_000,) * 3
+    assert got[1].clean_text.replace("[TERM]", "und") == "[EMAIL], [IP] und [PHONE]; " * 40_000
+    assert hashlib.sha256(",".join(base(many)).encode()).hexdigest() == got[1].base_sha256
+    assert got[2].spans.startswith("email:600001:600006,ip:900008:900015")
+
+
+def test_sanitised_columns_keep_their_names(spark):
+    names = ["_text", "_rid", "_email", "_words", "_term", "_marks", "row", "a.b", "spans"]
+    df = spark.createDataFrame([(1, "me a@b.c", *map(str, range(9)))], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = sanitisation.sanitise(df)
+    assert out.columns[:10] == ["doc_id", "text", *names[:-1]] and tuple(out.first())[:10] == (1, "me a@b.c", *map(str, range(8)))
+    assert out.first().spans.startswith("email:3:8") and sanitisation.sanitise(df, with_text=False).columns[0] == "doc_id"
+
+
 def test_revealing_terms_go_and_common_ones_stay(spark):
     near = [(i, f"the word{'abcdefgh'[i]} came when Zorblax phoned +1 (212) 555-0100 and the rest{'abcdefgh'[i]} went on") for i in range(8)]
     far = [(100 + i, "the and of it when came the went on phoned rest " * 30) for i in range(20)]
