@@ -12,31 +12,48 @@ from parlance.llm import decontamination, langid, minhash, packing, sanitisation
 from parlance.llm.common import materialize, release
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """The table with columns of these names, in any case, renamed, and the columns that undo it."""
+    taken = {n.lower() for n in names}
+    other = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(other.get(c, c)) for c in docs.columns])
+    return renamed, [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier rejects go: no letters, or nothing like its language."""
-    return langid.predict(docs, langid.train(docs)).filter(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language the classifier rejects go: no letters, or nothing like its language.
+
+    Null, empty and wordless texts go; repeated rows share their fate; rows with a null lang or
+    doc_id are judged like others; without a row to learn from everything goes.
+    """
+    rows, back = apart(docs, "lang_pred", "score", "rejected")
+    return langid.predict(rows, langid.train(rows)).filter(~F.col("rejected")).select(*back)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that with the smallest id."""
-    return minhash.one_of_each(docs).select(*docs.columns)
+    """One document of each class of near duplicates stays, that with the smallest id (null ones last).
+
+    Null and empty texts are one class; of repeated rows one stays.
+    """
+    return minhash.one_of_each(docs)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    """Documents that overlap a benchmark item go. Null and empty texts overlap nothing and stay; copies go together."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the text is replaced; n_chars is that of the new text."""
-    out = sanitisation.sanitise(docs).withColumn("text", F.col("clean_text"))
+    """Personal data in the text is replaced; n_chars is that of the new text. All rows stay; null texts stay null, with n_chars 0."""
+    rows, back = apart(docs, "n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans", "clean_text")
+    out = sanitisation.sanitise(rows).withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences in length buckets and batches."""
+    """Sequences in length buckets and batches; a document without words is one empty sequence in no batch."""
     return packing.pack(docs)
 
 
@@ -48,7 +65,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can express neither the classifier nor the signatures; tests/llm checks what each stage leaves.
+#: SQL can express neither the classifier nor the signatures; tests/llm compares each stage with a plain version.
 ORACLE_SQL = None
 
 
