@@ -1,19 +1,19 @@
 """Text functions as columns: normal forms, tokens, set similarities, cues, name keys.
 
 Two kinds of word list are kept apart by use, as they differ. Pattern classes are Unicode-aware
-(``(?U)``), as Spark's are ASCII otherwise. Only ``nfc`` leaves the JVM: Spark has no Unicode
-normalisation, so texts are normalised once, where they are read.
+(``(?U)``), as Spark's are ASCII otherwise. Spark has no Unicode normalisation, so ``nfc`` puts
+letters and combining marks together by a table, and only in texts that hold such marks.
 """
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------------------------
 STOPWORDS = (
@@ -55,23 +55,38 @@ MIN_JACCARD, MIN_OVERLAP = 0.45, 0.7
 # -----------------------------------------------------------------------------------------------
 
 
-def nfc(text: Column) -> Column:
-    """Unicode normal form C; the one function that Spark lacks."""
+@cache
+def _compositions() -> str:
+    """Every way to write a Latin letter with marks apart, and the letter, as pairs for ``str_to_map``."""
+    found: dict[str, str] = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        letter = chr(code)
+        base, *marks = unicodedata.normalize("NFD", letter)
+        for order in itertools.permutations(marks):
+            for k in range(len(order)):  # some marks may be on the letter already
+                head = unicodedata.normalize("NFC", base + "".join(order[:k]))
+                said = head + "".join(order[k:])
+                if len(head) == 1 and unicodedata.normalize("NFC", said) == letter:
+                    found[said] = letter
+    return "\x01".join(f"{k}\x02{v}" for k, v in found.items())
 
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFC", t) if isinstance(t, str) else t)
 
-    return F.pandas_udf(normal, StringType())(text)
+def nfc(text: Column) -> Column:
+    """Unicode normal form C of Latin letters with combining marks, Vietnamese ones among them."""
+    table = F.str_to_map(F.lit(_compositions()), F.lit("\x01"), F.lit("\x02"))
+    letters = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}"), F.lit(0))
+    one = lambda g: F.when(F.length(g) > 1, F.coalesce(F.try_element_at(table, g), g)).otherwise(g)
+    return F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(letters, one), "")).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
-    """White space runs as one space, edges trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """In normal form, white space runs as one space, edges trimmed."""
+    return F.trim(F.regexp_replace(nfc(text), r"(?U)\s+", " "))
 
 
 def word_tokens(text: Column) -> Column:
     """Lower-case word runs, in order, repeats kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(nfc(text)), F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def _words(values: Iterable[str]) -> Column:
@@ -144,7 +159,7 @@ def _any_of(words: Iterable[str]) -> str:
 def name_key(name: Column) -> Column:
     """The key by which people and organisations are matched: no parentheses, no leading form of address, long forms of abbreviations."""
     key = F.lower(squeeze(F.regexp_replace(name, r"\([^)]*\)", " ")))
-    key = F.regexp_replace(key, r"(?U)(?<!\w)uỷ(?!\w)", "ủy")
+    key = F.replace(key, F.lit("uỷ"), F.lit("ủy"))
     for short, long in ABBREVIATIONS.items():
         key = F.regexp_replace(key, rf"(?U)(?<!\w){short}(?!\w)\.?", long)
     key = F.regexp_replace(key, r"(?U)(?<!\w)(ủy ban|hội đồng) nhân dân(?!\w)", "$1")

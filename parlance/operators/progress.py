@@ -228,7 +228,7 @@ def merge_decisions(rows: DataFrame) -> DataFrame:
 
 
 def latest_by_task(rows: DataFrame) -> DataFrame:
-    """Reassigning and rescheduling rows fold into their task, the last one wins; others stay (relation, task_id, pos)."""
+    """Reassigning and rescheduling rows fold into their meeting's task, the last one wins; others stay (meeting_id, relation, task_id, pos)."""
     folds = F.coalesce(F.col("relation").isin("reassign", "reschedule"), F.lit(False))
-    n = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("pos")))
+    n = F.row_number().over(Window.partitionBy("meeting_id", "task_id").orderBy(F.desc("pos")))
     return rows.filter(~folds).unionByName(rows.filter(folds).withColumn("_n", n).filter("_n = 1").drop("_n"))

@@ -58,26 +58,42 @@ def actor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH x AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'P' || o_custkey WHEN 1 THEN 'O' || (o_custkey % 120) WHEN 2 THEN 'Ban dự án' ELSE 'P999999999' END AS code FROM orders)
-SELECT o_orderkey, code, coalesce(c_name, s_name, CASE WHEN NOT regexp_matches(code, '^[PO][0-9]+$') THEN code END) AS party_name, CASE WHEN c_name IS NOT NULL THEN 'person' WHEN s_name IS NOT NULL THEN 'organization' WHEN regexp_matches(code, '^[PO][0-9]+$') THEN 'unknown code' ELSE 'text' END AS party_kind
-FROM x LEFT JOIN customer ON code = 'P' || c_custkey LEFT JOIN supplier ON code = 'O' || s_suppkey"""
+    """WITH x AS (SELECT o_orderkey, o_orderkey % 3 AS meeting_id, CASE o_orderkey % 4 WHEN 0 THEN 'P' || o_custkey WHEN 1 THEN 'O' || (o_custkey % 120) WHEN 2 THEN 'Ban dự án' ELSE 'P999999999' END AS code FROM orders),
+p AS (SELECT m AS meeting_id, 'P' || c_custkey AS code, c_name || ' M' || m AS p FROM customer, range(2) t(m)), o AS (SELECT m AS meeting_id, 'O' || s_suppkey AS code, s_name || ' M' || m AS o FROM supplier, range(3) t(m))
+SELECT o_orderkey, meeting_id, code, coalesce(p, o, CASE WHEN NOT regexp_matches(code, '^[PO][0-9]+$') THEN code END) AS party_name, CASE WHEN p IS NOT NULL THEN 'person' WHEN o IS NOT NULL THEN 'organization' WHEN regexp_matches(code, '^[PO][0-9]+$') THEN 'unknown code' ELSE 'text' END AS party_kind
+FROM x LEFT JOIN p USING (meeting_id, code) LEFT JOIN o USING (meeting_id, code)"""
 )
 def party_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Party codes of tasks: people, then organisations, else text or an unknown code."""
+    """Party codes of tasks in meetings whose rosters use the same codes: people, then organisations, else text or an unknown code."""
     k = F.col("o_orderkey") % 4
     code = F.when(k == 0, F.concat(F.lit("P"), "o_custkey")).when(k == 1, F.concat(F.lit("O"), (F.col("o_custkey") % 120).cast("string"))).when(k == 2, "Ban dự án").otherwise("P999999999")
-    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("P"), "c_custkey").alias("ref_id"), F.col("c_name").alias("full_name"))
-    orgs = table(spark, sf_dir, "supplier").select(F.concat(F.lit("O"), "s_suppkey").alias("ref_id"), F.col("s_name").alias("name"))
-    return actors.resolve_party(table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code")), "code", people, orgs)
-
-
-@query()
+    named = lambda c: F.concat(F.col(c), F.lit(" M"), "meeting_id")
+    people = table(spark, sf_dir, "customer").withColumn("meeting_id", F.explode(F.array(*[F.lit(m).cast("bigint") for m in range(2)]))).select("meeting_id", F.concat(F.lit("P"), "c_custkey").alias("ref_id"), named("c_name").alias("full_name"))
+    orgs = table(spark, sf_dir, "supplier").withColumn("meeting_id", F.explode(F.array(*[F.lit(m).cast("bigint") for m in range(3)]))).select("meeting_id", F.concat(F.lit("O"), "s_suppkey").alias("ref_id"), named("s_name").alias("name"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("meeting_id"), code.alias("code"))
+    return actors.resolve_party(rows, "code", people, orgs).select("o_orderkey", "meeting_id", "code", "party_name", "party_kind")
+
+
+COMPOUND = {
+    "Sở Xây dựng chủ trì, phối hợp với anh {n} và Ban Quản lý và Vận hành": [("Sở Xây dựng", "lead"), ("anh {n}", "support"), ("Ban Quản lý và Vận hành", "support")],
+    "chị {n}": [("chị {n}", "lead")],
+    "Sở A{n}, Sở B phối hợp với Sở C": [("Sở A{n}", "lead"), ("Sở B", "lead"), ("Sở C", "support")],
+    "Sở Văn hóa và Thể thao {n}": [("Sở Văn hóa và Thể thao {n}", "lead")],
+    "anh Sơn{n} và chị Hà": [("anh Sơn{n}", "joint"), ("chị Hà", "joint")],
+    "Sở B (phối hợp); Sở A{n} (chủ trì)": [("Sở B", "support"), ("Sở A{n}", "lead")],
+    "  ": [],
+}
+_PARTS = " ".join(f"WHEN {k} THEN [" + ", ".join(f"{{'m': replace('{m}', '{{n}}', o_custkey::VARCHAR), 'r': '{r}'}}" for m, r in parts) + "]" for k, parts in enumerate(COMPOUND.values()))
+
+
+@query(f"SELECT o_orderkey, (i - 1)::INT AS mention_no, x[i].m AS mention, x[i].r AS role FROM (SELECT o_orderkey, CASE o_orderkey % {len(COMPOUND)} {_PARTS} END AS x, unnest(range(1, len(x) + 1)) AS i FROM orders)")
 def actor_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compound actors split into parties with roles."""
     o = table(spark, sf_dir, "orders")
-    text = F.concat(F.lit("Sở Xây dựng chủ trì, phối hợp với "), F.concat(F.lit("anh "), F.col("o_custkey").cast("string")), F.lit(" và Ban Quản lý và Vận hành"))
-    actor = F.when(F.col("o_orderkey") % 3 == 0, text).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("chị "), F.col("o_custkey").cast("string")))
-    return actors.exploded_mentions(o.select("o_orderkey", actor.alias("actor")), ["Ban Quản lý và Vận hành"])
+    said = F.element_at(F.array(*[F.lit(c) for c in COMPOUND]), (F.col("o_orderkey") % len(COMPOUND) + 1).cast("int"))
+    rows = o.select((F.col("o_orderkey") % 5).alias("meeting_id"), "o_orderkey", F.replace(said, F.lit("{n}"), F.col("o_custkey").cast("string")).alias("actor"))
+    names = o.select((F.col("o_orderkey") % 5).alias("meeting_id")).distinct().withColumn("names", F.array(F.lit("Ban Quản lý và Vận hành")))
+    return actors.exploded_mentions(rows, names).select("o_orderkey", "mention_no", "mention", "role")
 
 
 # --- progress -------------------------------------------------------------------------------------

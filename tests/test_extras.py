@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import actors, scoring
+from parlance.operators import actors, progress, scoring
 from parlance.operators import splitting as sp
 from parlance.sources import payloads, sinks
 from parlance.sources.config import Config
@@ -24,22 +24,61 @@ def test_small_pieces():
     assert sp.small_pieces("") == []
 
 
-def test_bare_tasks():
-    assert sp.bare_task("giao Hiếu map lại nhãn", "Hiếu") == "Map lại nhãn"
-    assert sp.bare_task("anh Sơn sẽ gửi báo cáo", "anh Sơn") == "Gửi báo cáo"
-    assert sp.bare_task("giao diện mới cần sửa", "Hà") == "giao diện mới cần sửa"
-    assert sp.bare_task("Giao nhiệm vụ cho phòng Tài chính rà soát", "phòng Tài chính") == "Rà soát"
-    assert sp.bare_task("giao Hà", "Hà") == "giao Hà" and sp.bare_task("làm báo cáo", None) == "làm báo cáo"
+def test_cuts_at_the_limit():
+    # at the last space before the limit, though the limit itself falls on a word's end
+    assert [len(p) for p in sp.windows("x" * 2496 + " bcd efg")] == [2496, 7]
+    assert sp.windows("a" * 6 + "\t" + "b" * 6, 8) == ["a" * 6 + "\tb", "b" * 5]  # only spaces are cut at
+    text = "Mở đầu báo cáo. " * 200 + "Việc giải trình ý kiến của Bộ đã xong."
+    parts = sp.windows(text, 1000)
+    assert len(parts) == 4 and parts[-1].endswith("Việc giải trình ý kiến của Bộ đã xong.") and " ".join(parts) == text
+    assert sp.windows("chữ " * 600, 1000)[0] == ("chữ " * 250).strip() and " ".join(sp.windows("chữ " * 600, 1000)).split() == ["chữ"] * 600
+    assert sp.tail("abc def ", 1) == "" and sp.tail("abcdef", 3) == "def"
+
+
+def test_bare_tasks(spark):
+    said = [
+        ("giao Hiếu map lại nhãn", "Hiếu", "Map lại nhãn"), ("anh Sơn sẽ gửi báo cáo", "anh Sơn", "Gửi báo cáo"), ("giao diện mới cần sửa", "Hà", "giao diện mới cần sửa"),
+        ("Giao nhiệm vụ cho phòng Tài chính rà soát", "phòng Tài chính", "Rà soát"), ("giao Hà", "Hà", "giao Hà"), ("làm báo cáo", None, "làm báo cáo"), ("giao Anh Tuấn làm phụ lục", "Anh Tuấn", "Làm phụ lục"),
+        ("Giao cho chị Mai cập nhật đặc tả", "Chị Mai", "Cập nhật đặc tả"), ("Ông Bình phải lập tiến độ", "Ông Bình", "Lập tiến độ"), ("Phối hợp với Nam tích hợp SMS", "Hiếu", "Phối hợp với Nam tích hợp SMS"),
+        ("giao", None, "giao"), ("giao phòng a.b(c ký", "phòng a.b(c", "Ký"), ("Phân công Lan soạn thảo", None, "Lan soạn thảo"), ("giao \\E x", "\\E", "X"),
+    ]
+    rows = spark.createDataFrame([(i, t, a) for i, (t, a, _) in enumerate(said)], "i int, text string, actor string")
+    assert [r.bare_text for r in sp.with_bare_task(rows, "text", "actor").orderBy("i").collect()] == [want for *_, want in said]
     assert sp.snippet("a" * 500 + " budget", ["budget"], 200).endswith("budget")
 
 
 def test_support_parties(spark):
-    names = ["Sở Y tế", "Sở Xây dựng"]
-    text = "làm đề án, phối hợp với Sở Xây dựng và Sở Y tế. Sở Lạ"
-    assert actors.support_in_text(text, names) == ["Sở Xây dựng", "Sở Y tế"] and actors.support_in_text("Sở Y tế", names) == []
+    names = ["Sở Y tế", "Sở Xây dựng", "Sở Công an"]
+    text = "làm đề án, phối hợp với Sở Xây dựng và Sở Y te\u0302\u0301. Sở Lạ; phối hợp Sở Công an"
     tasks = spark.createDataFrame([("m", 1, text), ("m", 2, "Sở Y tế")], "meeting_id string, row_id int, text string")
     known = spark.createDataFrame([("m", n) for n in names], "meeting_id string, name string")
-    assert [r.name for r in actors.support_parties(tasks, known).orderBy("place").collect()] == ["Sở Xây dựng", "Sở Y tế"]
+    found = actors.support_parties(tasks, known)
+    assert [r.name for r in found.orderBy("place").collect()] == ["Sở Xây dựng", "Sở Y tế", "Sở Công an"]
+    mine = spark.createDataFrame([("m", 1, 0, "Sở Tài chính", "joint"), ("m", 1, 1, "sở y tế", "joint")], "meeting_id string, row_id int, mention_no int, mention string, role string")
+    got = actors.all_parties(mine, found).orderBy("mention_no").collect()
+    assert [(r.mention, r.role) for r in got] == [("Sở Tài chính", "lead"), ("sở y tế", "lead"), ("Sở Xây dựng", "support"), ("Sở Công an", "support")]
+    turns = spark.createDataFrame([("m", "hôm nay Sở Y te\u0302\u0301 báo cáo"), ("n", "Sở Xây dựng")], "meeting_id string, text_exact string")
+    assert [r.name for r in actors.named_in_meeting(known, turns).collect()] == ["Sở Y tế"]
+
+
+def test_codes_and_relations_stay_in_their_meeting(spark):
+    people = spark.createDataFrame([("m", "P1", "An"), ("n", "P1", "Bình")], "meeting_id string, ref_id string, full_name string")
+    orgs = spark.createDataFrame([], "meeting_id string, ref_id string, name string")
+    rows = spark.createDataFrame([("m", "P1"), ("n", "P1"), ("o", "P1")], "meeting_id string, code string")
+    assert sorted((r.meeting_id, r.party_name, r.party_kind) for r in actors.resolve_party(rows, "code", people, orgs).collect()) == [("m", "An", "person"), ("n", "Bình", "person"), ("o", None, "unknown code")]
+    moved = spark.createDataFrame([("m", "t", "reassign", 1), ("m", "t", "reschedule", 2), ("n", "t", "reassign", 1)], "meeting_id string, task_id string, relation string, pos int")
+    assert sorted((r.meeting_id, r.pos) for r in progress.latest_by_task(moved).collect()) == [("m", 2), ("n", 1)]
+
+
+def test_normal_form(spark):
+    import unicodedata
+
+    from parlance.functions import text as tx
+
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.normalize("NFC", chr(c)) == chr(c)]
+    forms = [(f"x{f}y {x}", f"x{x}y {x}") for x in letters for f in {unicodedata.normalize("NFD", x)}] + [("a\u0302\u0301 a\u0323\u0302 â\u0323 ạ\u0302 q\u0301", "ấ ậ ậ ậ q\u0301"), (None, None)]
+    got = spark.createDataFrame(forms, "said string, want string").select(tx.nfc(F.col("said")).alias("got"), "want").collect()
+    assert [r for r in got if r.got != r.want] == []
 
 
 def test_speakers_and_chairs(spark):

@@ -135,6 +135,12 @@ def test_compound_actors():
     assert split("Ban Quản lý và Vận hành", ["Ban Quản lý và Vận hành"]) == [("Ban Quản lý và Vận hành", "lead")]
     assert split("Sở A (chủ trì), Sở B (phối hợp)", []) == [("Sở A", "lead"), ("Sở B", "support")]
     assert split(None, []) == split("  ", []) == []
+    assert split("Sở A, Sở B phối hợp với Sở C", []) == [("Sở A", "lead"), ("Sở B", "lead"), ("Sở C", "support")]
+    assert split("Sở Nông nghiệp và Môi trường", []) == [("Sở Nông nghiệp và Môi trường", "lead")]
+    assert split("Sở Văn hóa và Thể thao", []) == [("Sở Văn hóa và Thể thao", "lead")] and split("Sở Văn hóa và chị Hà", ["Lê Hà"]) == [("Sở Văn hóa", "joint"), ("chị Hà", "joint")]
+    assert split("Sở A (phối hợp), Sở B (chủ trì)", []) == [("Sở A", "support"), ("Sở B", "lead")]
+    assert split("do Sở A đầu mối; anh Sơn cùng với chị Hà", []) == [("Sở A", "lead"), ("anh Sơn", "lead"), ("chị Hà", "lead")]
+    assert split("Sở Y te\u0302\u0301 và Sở Xây dựng", ["Sở Y tế"]) == [("Sở Y tế", "joint"), ("Sở Xây dựng", "joint")]
 
 
 def test_context_and_functions_decide_ties(spark):
