@@ -87,3 +87,30 @@ def purity(turns: DataFrame, topics: DataFrame) -> DataFrame:
     k = topics.groupBy("session", "speaker").agg(F.count(F.lit(1)).alias("n_topics"))
     rows = t.join(k, ["session", "speaker"], "full_outer").na.fill(0, ["n_turns", "n_topics"])
     return rows.withColumn("excess", F.greatest(F.col("n_topics") - F.col("n_turns"), F.lit(0)))
+
+
+def topic_counts(points: DataFrame, keys: tuple[str, ...] = ("meeting_id", "segment_id"), distinct: str = "speaker") -> DataFrame:
+    """(keys, n_points, n_<distinct>): the points of each topic, and how many different values of a column they have."""
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct(distinct).alias(f"n_{distinct}"))
+
+
+def top_points(rows: DataFrame, group: str, best: str, key: str, most: int = 6) -> DataFrame:
+    """The ``most`` rows of each group with the largest ``best``, ties to the smaller key: a top-k report."""
+    order = Window.partitionBy(group).orderBy(F.desc(best), key)
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+
+
+def usage_ledger(calls: DataFrame, kind: str, failed: Column, tokens: Column) -> DataFrame:
+    """(kind, calls, failed, tokens) of logged calls."""
+    return calls.groupBy(kind).agg(F.count(F.lit(1)).alias("calls"), F.count_if(failed).alias("failed"), F.sum(tokens).alias("tokens"))
+
+
+def session_order(rows: DataFrame) -> DataFrame:
+    """(place, session, n_turns, n_topics, excess) of ``purity`` by session, the largest excess first."""
+    each = rows.groupBy("session").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_topics").alias("n_topics"), F.sum("excess").alias("excess"))
+    return each.withColumn("place", F.row_number().over(Window.orderBy(F.desc("excess"), "session")))
+
+
+def shown_date(day: Column, unknown: str = "") -> Column:
+    """A date as it is shown, day first; ``unknown`` where there is none."""
+    return F.coalesce(F.date_format(day, "dd/MM/yyyy"), F.lit(unknown))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.dates import normalize_deadline
@@ -100,27 +100,22 @@ def nearest_rank(rows: DataFrame, by: list[str], value: str, share: float, out:
     return n.filter(F.col("_i") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(*by, F.col(value).alias(out))
 
 
-def _draws(spark: SparkSession, n: int, resamples: int, seed: int) -> DataFrame:
-    """(resample, meeting_no, times): how often each resample draws each of ``n`` meetings; numpy's draws, so results repeat."""
-
-    def run(parts):
-        for part in parts:
-            out = []
-            for r in part["id"]:
-                times = np.bincount(np.random.default_rng([seed, int(r)]).integers(0, n, n), minlength=n)
-                at = np.flatnonzero(times)
-                out.append(pd.DataFrame({"resample": r, "meeting_no": at, "times": times[at]}))
-            yield pd.concat(out) if out else pd.DataFrame({"resample": [], "meeting_no": [], "times": []})
-
-    return spark.range(resamples).mapInPandas(run, "resample long, meeting_no long, times long")
+def drawn(seed: int, *parts: Column, below: Column) -> Column:
+    """A number from 0 to ``below`` - 1 by the MD5 sum of a seed and some numbers, which every SQL engine draws alike."""
+    digits = F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary")), F.lit(12))
+    return F.conv(digits, 16, 10).cast("long") % below
 
 
 def _resampled(counts: DataFrame, resamples: int, seed: int, sums: list[str]) -> DataFrame:
-    """Sums of the counts of each resample. Meetings are numbered over all, as there are few of them."""
-    n = counts.count()
+    """Sums of the counts of each resample: as many draws, with replacement, as there are meetings.
+
+    Meetings are numbered over all in the order of their ids: there are as many as were scored.
+    """
     numbered = counts.withColumn("meeting_no", F.row_number().over(Window.orderBy("meeting_id")).cast("long") - 1)
-    drawn = _draws(counts.sparkSession, n, resamples, seed).join(numbered, "meeting_no")
-    return drawn.groupBy("resample").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums])
+    n = counts.agg(F.count(F.lit(1))).scalar()
+    draws = counts.sparkSession.range(resamples).withColumnRenamed("id", "resample").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    draws = draws.withColumn("meeting_no", drawn(seed, F.col("resample"), F.col("draw"), below=n)).groupBy("resample", "meeting_no").agg(F.count(F.lit(1)).alias("times"))
+    return draws.join(numbered, "meeting_no").groupBy("resample").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums])
 
 
 def with_turns(rows: DataFrame, turns: DataFrame) -> DataFrame:
@@ -177,7 +172,7 @@ def labelled_sample(turns: DataFrame, positive: DataFrame, negative: DataFrame,
     p, n = positive.select(*keys).distinct(), negative.select(*keys).distinct()
     gold = p.join(n, keys, "left_anti").withColumn("label", F.lit(True)).unionByName(n.join(p, keys, "left_anti").withColumn("label", F.lit(False)))
     free = turns.select(*keys).join(p.unionByName(n).distinct(), keys, "left_anti")
-    draw = F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.xxhash64(*keys, F.lit(seed)), "turn_no"))
+    draw = F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys).cast("binary")), "turn_no"))
     return gold.unionByName(free.withColumn("_r", draw).filter(F.col("_r") <= others).drop("_r").withColumn("label", F.lit(None).cast("boolean")))
 
 
@@ -232,3 +227,15 @@ def pk_windowdiff(units: DataFrame) -> DataFrame:
     differ = ((F.col("g2") - F.col("g")) != (F.col("p2") - F.col("p"))).cast("double")
     scores = both.groupBy("meeting_id").agg(F.avg(apart).alias("pk"), F.avg(differ).alias("windowdiff"))
     return size.join(scores, "meeting_id", "left")
+
+
+def disjoint(rows: DataFrame, name: str, positive: Column, negative: Column) -> DataFrame:
+    """(name, has_positive, has_negative) of the groups that are not both."""
+    agg = rows.groupBy(name).agg(F.bool_or(positive).alias("has_positive"), F.bool_or(negative).alias("has_negative"))
+    return agg.filter(~(F.col("has_positive") & F.col("has_negative")))
+
+
+def label_distribution(labels: Column, least: float = 0.05) -> Column:
+    """The labels of a map of probabilities that reach ``least``, as (label, p), the likeliest first."""
+    pairs = F.transform(F.map_entries(F.map_filter(labels, lambda k, v: v >= least)), lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("label")))
+    return F.transform(F.array_sort(pairs), lambda x: F.struct(x["label"].alias("label"), (-x["o"]).alias("p")))

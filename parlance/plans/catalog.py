@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.plans import meeting_queries, report_queries, segment_queries, stream_queries, transcript_queries  # noqa: F401
+from parlance.plans import function_queries, meeting_queries, report_queries, segment_queries, stream_queries, transcript_queries  # noqa: F401
 from parlance.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

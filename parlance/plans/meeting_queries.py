@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
@@ -11,6 +11,7 @@ from parlance.operators import actors, documents, progress, scoring
 from parlance.plans.registry import query, table
 from parlance.plans.segment_queries import STOP
 from parlance.plans.transcript_queries import LINES, TURNS, conversation_turns, line_items
+from parlance.sources import payloads
 
 # --- actors -------------------------------------------------------------------------------------
 
@@ -189,7 +190,23 @@ def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("meeting_id", "turn", F.array_join("reasons", "; ").alias("reasons"), "verdict")
 
 
-@query()
+_SIMILAR = "[" + ", ".join(f"'{w}'" for w in tx.SIMILARITY_STOPWORDS) + "]"
+#: One line after another, with the list of what is kept; ``{same}`` and ``{wins}`` compare a kept ``k`` with the line ``l``.
+_MERGED = """WITH RECURSIVE {lines}, t AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY pos) AS i, pos, role AS actor_key, text, CASE WHEN pos % 2 = 0 THEN '2026-01-01' END AS deadline, [item_id] AS ev,
+  list_distinct(list_filter(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: len(x) > 1 AND NOT list_contains({stop}, x) {own})) AS w FROM items),
+r AS (SELECT DISTINCT meeting_id, 0::BIGINT AS i, []::STRUCT(pos BIGINT, actor_key VARCHAR, text VARCHAR, deadline VARCHAR, ev VARCHAR[], w VARCHAR[], n INT)[] AS kept FROM t
+UNION ALL SELECT l.meeting_id, l.i, CASE WHEN hit IS NULL THEN list_append(kept, {{'pos': l.pos, 'actor_key': l.actor_key, 'text': l.text, 'deadline': l.deadline, 'ev': l.ev, 'w': l.w, 'n': 1}})
+  ELSE list_concat(list_concat(kept[:hit - 1], [CASE WHEN {wins} THEN {{'pos': kept[hit].pos, 'actor_key': kept[hit].actor_key, 'text': l.text, 'deadline': l.deadline, 'ev': list_concat(l.ev, kept[hit].ev), 'w': l.w, 'n': kept[hit].n + 1}}
+    ELSE {{'pos': kept[hit].pos, 'actor_key': kept[hit].actor_key, 'text': kept[hit].text, 'deadline': kept[hit].deadline, 'ev': list_concat(kept[hit].ev, l.ev), 'w': kept[hit].w, 'n': kept[hit].n + 1}} END]), kept[hit + 1:]) END
+  FROM (SELECT t.*, r.kept, list_position(list_transform(r.kept, lambda k: {same} len(k.w) > 0 AND len(t.w) > 0 AND len(list_intersect(k.w, t.w)) >= 0.45 * len(list_distinct(list_concat(k.w, t.w))) AND len(list_intersect(k.w, t.w)) >= 0.7 * least(len(k.w), len(t.w))), true) AS hit
+    FROM r JOIN t ON t.meeting_id = r.meeting_id AND t.i = r.i + 1) l),
+z AS (SELECT meeting_id, unnest(kept) AS k FROM (SELECT meeting_id, arg_max(kept, i) AS kept FROM r GROUP BY 1))"""
+
+
+@query(
+    _MERGED.format(lines=LINES, stop=_SIMILAR, own="AND x <> lower(role)", same="k.actor_key = t.actor_key AND", wins="(l.deadline IS NOT NULL AND kept[hit].deadline IS NULL) OR ((l.deadline IS NULL) = (kept[hit].deadline IS NULL) AND length(l.text) > length(kept[hit].text))")
+    + " SELECT meeting_id, k.pos AS pos, k.actor_key AS actor_key, k.text AS text, k.deadline AS deadline, array_to_string(k.ev, ',') AS evidence, k.n AS n_merged FROM z"
+)
 def merged_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations as assignments, duplicates merged by first fit."""
     rows = line_items(spark, sf_dir).select("meeting_id", "pos", F.col("speaker").alias("actor_key"), F.lit(None).cast("string").alias("task_id"), "text", F.when(F.col("pos") % 2 == 0, "2026-01-01").alias("deadline"), F.array("item_id").alias("evidence_ids"))
@@ -197,7 +214,10 @@ def merged_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("meeting_id", "pos", "actor_key", "text", "deadline", F.array_join("evidence_ids", ",").alias("evidence"), "n_merged")
 
 
-@query()
+@query(
+    _MERGED.format(lines=LINES, stop=_SIMILAR, own="", same="", wins="length(l.text) > length(kept[hit].text)")
+    + " SELECT meeting_id, k.pos AS pos, k.text AS text, array_to_string(k.ev, ',') AS evidence, k.n AS n_merged FROM z"
+)
 def merged_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations as decisions, duplicates merged by first fit."""
     out = progress.merge_decisions(line_items(spark, sf_dir).select("meeting_id", "pos", "text", F.array("item_id").alias("evidence_ids")))
@@ -230,13 +250,24 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.pairs_in_window(*scored_turns(spark, sf_dir), least=ALIKE)
 
 
-@query()
+#: One candidate after another, with the lists of what is taken.
+GREEDY = """k AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY score DESC, pred_id, gold_id) AS i FROM pr WHERE score >= 0.02),
+gr AS (SELECT meeting_id, 0::BIGINT AS i, []::BIGINT[] AS ps, []::BIGINT[] AS gs, NULL::BIGINT AS pred_id, NULL::BIGINT AS gold_id, NULL::DOUBLE AS score, false AS ok FROM (SELECT DISTINCT meeting_id FROM k)
+  UNION ALL SELECT meeting_id, i, CASE WHEN ok THEN list_append(ps, pred_id) ELSE ps END, CASE WHEN ok THEN list_append(gs, gold_id) ELSE gs END, pred_id, gold_id, score, ok
+  FROM (SELECT k.meeting_id, k.i, gr.ps, gr.gs, k.pred_id::BIGINT AS pred_id, k.gold_id::BIGINT AS gold_id, k.score, NOT list_contains(gr.ps, k.pred_id) AND NOT list_contains(gr.gs, k.gold_id) AS ok FROM gr JOIN k ON k.meeting_id = gr.meeting_id AND k.i = gr.i + 1)),
+matched AS (SELECT meeting_id, pred_id, gold_id, score FROM gr WHERE ok)"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {GREEDY} SELECT * FROM matched")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions matched to gold one to one, the best score first."""
     return scoring.greedy_match(scoring.pairs_in_window(*scored_turns(spark, sf_dir), least=ALIKE))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PAIRS}, {GREEDY}
+SELECT p.meeting_id, p.pred_id, min(p.gold_id) AS trap_id FROM pr p WHERE p.score >= 0.02 AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.meeting_id = p.meeting_id AND m.pred_id = p.pred_id) AND (p.gold_id % 2 = 1 OR p.pred_id % 2 = 0) GROUP BY ALL"""
+)
 def trap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unmatched predictions that fall into traps, made of the turns before."""
     pred, gold = scored_turns(spark, sf_dir)
@@ -288,13 +319,28 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_if(F.col("pred") & F.col("gold")).alias("tp"), F.count_if("pred").alias("n_pred"), F.count_if("gold").alias("n_gold"), F.count_if((F.col("p") > 0.5) & F.col("gold")).alias("tp_b"), F.count_if(F.col("p") > 0.5).alias("n_b"))
 
 
-@query()
+#: Counts by source, numbered, and how often each resample draws each; sums of each resample.
+DRAWS = f"""{LABELLED}, ct AS (SELECT source, count_if(pred AND gold) AS tp, count_if(pred) AS n_pred, count_if(gold) AS n_gold, count_if(p > 0.5 AND gold) AS tp_b, count_if(p > 0.5) AS n_b FROM l GROUP BY 1),
+nb AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS no, count(*) OVER () AS n FROM ct),
+dr AS (SELECT r, ('0x' || left(md5('7:' || r || ':' || d), 12))::BIGINT % n AS no FROM range(1000) a(r), (SELECT DISTINCT n FROM nb), unnest(range(n)) b(d)),
+sm AS (SELECT r, sum(tp) AS tp, sum(n_pred) AS n_pred, sum(n_gold) AS n_gold, sum(tp_b) AS tp_b, sum(n_b) AS n_b FROM dr JOIN nb USING (no) GROUP BY 1),
+wh AS (SELECT sum(tp) AS tp, sum(n_pred) AS n_pred, sum(n_gold) AS n_gold, sum(tp_b) AS tp_b, sum(n_b) AS n_b FROM ct)"""
+
+
+@query(
+    f"""WITH {DRAWS}, f AS (SELECT CASE WHEN n_pred + n_gold = 0 THEN 1.0 ELSE 2.0 * tp / (n_pred + n_gold) END::DOUBLE AS s FROM sm)
+SELECT (SELECT CASE WHEN n_pred + n_gold = 0 THEN 1.0 ELSE 2.0 * tp / (n_pred + n_gold) END::DOUBLE FROM wh) AS f1, quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM f"""
+)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro F1 with an interval by resampling sources."""
     return scoring.bootstrap_interval(source_counts(spark, sf_dir).select("meeting_id", "tp", "n_pred", "n_gold"))
 
 
-@query()
+@query(
+    f"""WITH {DRAWS}, e AS (SELECT *, 2.0 * tp / greatest(n_pred + n_gold, 1) - 2.0 * tp_b / greatest(n_b + n_gold, 1) AS d FROM sm)
+SELECT (SELECT 2.0 * tp / greatest(n_pred + n_gold, 1) - 2.0 * tp_b / greatest(n_b + n_gold, 1) FROM wh)::DOUBLE AS difference, quantile_cont(d, 0.025)::DOUBLE AS low, quantile_cont(d, 0.975)::DOUBLE AS high,
+least(1.0, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)))::DOUBLE AS p_value FROM e"""
+)
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two predictors' difference in micro F1, by the same resamples."""
     return scoring.paired_bootstrap(source_counts(spark, sf_dir).select("meeting_id", F.col("tp").alias("tp_a"), F.col("n_pred").alias("n_a"), "tp_b", "n_b", "n_gold"))
@@ -345,8 +391,8 @@ def group_by_assignee(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source AS meeting_id, lang AS segment_id, count(*) AS n_points, count(DISTINCT n_chars) AS n_lengths FROM documents GROUP BY ALL")
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and different lengths per topic."""
-    rows = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("meeting_id"), F.col("lang").alias("segment_id"))
-    return rows.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("n_chars").alias("n_lengths"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("meeting_id"), F.col("lang").alias("segment_id"), F.col("n_chars").alias("lengths"))
+    return documents.topic_counts(rows, distinct="lengths")
 
 
 @query(
@@ -375,26 +421,24 @@ def turn_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS calls, count_if(value > 50)::BIGINT AS failed, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS tokens FROM events GROUP BY 1")
 def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls, failed calls and tokens, by kind."""
-    rows = table(spark, sf_dir, "events").groupBy("event_type")
-    return rows.agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("value") > 50).alias("failed"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("tokens"))
+    return documents.usage_ledger(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50, F.get_json_object("props", "$.k").cast("bigint"))
 
 
 @query("SELECT doc_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, doc_id) AS r FROM (SELECT doc_id, lang AS label, n_chars AS n FROM documents)) WHERE r <= 6")
 def top_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six largest of each label, ties to the smaller id: a top-k report."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), F.col("n_chars").alias("n"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "doc_id"))).filter("r <= 6").drop("r")
+    return documents.top_points(rows, "label", "n", "doc_id")
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a resumed run has still to do: rows without a result."""
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return payloads.todo(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("SELECT source AS name, bool_or(quality = 1) AS has_positive, bool_or(toxic = 1) AS has_negative FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING NOT (bool_or(quality = 1) AND bool_or(toxic = 1))")
 def disjoint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that are not both positive and negative."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("source").alias("name"))
-    agg = rows.agg(F.bool_or(F.col("quality") == 1).alias("has_positive"), F.bool_or(F.col("toxic") == 1).alias("has_negative"))
-    return agg.filter(~(F.col("has_positive") & F.col("has_negative")))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumnRenamed("source", "name")
+    return scoring.disjoint(rows, "name", F.col("quality") == 1, F.col("toxic") == 1)

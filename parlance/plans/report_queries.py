@@ -53,14 +53,26 @@ def speaker_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actors.speaker_person(speakers, people).select("meeting_id", "speaker", "ref_id")
 
 
-@query()
+#: Sentences, long ones cut at their last space before the limit, then packed one after another.
+WINDOWS = """WITH RECURSIVE s AS (SELECT doc_id, generate_subscripts(x, 1) AS sn, unnest(x) AS rest FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE length(text) > 2500)),
+c AS (SELECT doc_id, sn, 0 AS pn, NULL::VARCHAR AS piece, rest FROM s UNION ALL SELECT doc_id, sn, pn + 1, CASE WHEN length(rest) <= 2500 THEN rest ELSE left(rest, cut) END, CASE WHEN length(rest) <= 2500 THEN '' ELSE regexp_replace(substr(rest, cut + 1), '^\\s+', '') END
+  FROM (SELECT *, CASE WHEN strpos(reverse(left(rest, 2500)), ' ') BETWEEN 1 AND 2499 THEN 2500 - strpos(reverse(left(rest, 2500)), ' ') ELSE 2500 END AS cut FROM c WHERE rest <> '')),
+p AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY sn, pn) AS i FROM c WHERE pn > 0 AND piece <> ''),
+g AS (SELECT doc_id, i, 0 AS piece, length(piece) AS have FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN have + 1 + length(p.piece) > 2500 THEN g.piece + 1 ELSE g.piece END, CASE WHEN have + 1 + length(p.piece) > 2500 THEN length(p.piece) ELSE have + 1 + length(p.piece) END FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1)"""
+
+
+@query(f"{WINDOWS} SELECT g.doc_id, g.piece::INT AS piece, string_agg(p.piece, ' ' ORDER BY g.i) AS text FROM g JOIN p USING (doc_id, i) GROUP BY ALL UNION ALL SELECT doc_id, 0, coalesce(text, '') FROM documents WHERE coalesce(length(text), 0) <= 2500")
 def turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in pieces of at most 2500 characters, cut at sentences."""
     rows = splitting.with_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", F.posexplode("windows").alias("piece", "text"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, source, bool_or(quality = 1) AS g, bool_or(toxic = 1) AS t FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+f AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || source || ':' || doc_id), doc_id) AS r FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l WHERE g OR t))
+SELECT source AS meeting_id, doc_id AS turn_no, g AS label FROM l WHERE g <> t UNION ALL SELECT source, doc_id, NULL FROM f WHERE r <= 8"""
+)
 def labelled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents and eight others of every source: a sampling operator."""
     rows = labelled(spark, sf_dir)
