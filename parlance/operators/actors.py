@@ -36,13 +36,35 @@ def suffixes(key: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
 
 
+def _seams(key: Column) -> Column:
+    """Hashes of every end of a word of the key with the next word, and with its first letter: what a contained key may begin with."""
+    words = F.split(key, " ")
+    pair = lambda a, b: F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.array(F.xxhash64(F.right(a, i), b), F.xxhash64(F.right(a, i), F.left(b, F.lit(1)), F.lit(2)))))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: pair(F.element_at(words, k), F.element_at(words, k + 1)))
+    return F.when(F.size(words) > 1, F.array_distinct(F.flatten(pairs))).otherwise(F.array().cast("array<bigint>"))
+
+
+def contained(longer: DataFrame, long_key: str, shorter: DataFrame, short_key: str, by: str = "meeting_id") -> DataFrame:
+    """The pairs (by, long_key, short_key) where a key of two words or more stands inside another one.
+
+    An equi-join: the first word of the shorter is an end of a word of the longer; the second is the
+    next word, or, if it is the last, begins it.
+    """
+    w = F.split(F.col(short_key), " ")
+    one, two = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    start = F.when(F.size(w) > 2, F.xxhash64(one, two)).otherwise(F.xxhash64(one, F.left(two, F.lit(1)), F.lit(2)))
+    a = longer.select(by, long_key, F.explode(_seams(F.col(long_key))).alias("_h"))
+    b = shorter.filter(F.col(short_key).contains(" ")).select(by, short_key, start.alias("_h"))
+    return a.join(b, [by, "_h"]).filter(F.col(long_key).contains(F.col(short_key)) & (F.col(long_key) != F.col(short_key))).select(by, long_key, short_key).distinct()
+
+
 def candidates(mentions: DataFrame, people: DataFrame, organizations: DataFrame) -> DataFrame:
     """(meeting_id, mention_id, mention, ref_id, name, kind, score, terms) of everyone whom a mention may mean.
 
     ``mentions``: meeting_id, mention_id, mention. ``people``: meeting_id, ref_id, full_name and
     org_id. ``organizations``: meeting_id, ref_id, name, aliases, functions. People match by their
     key or an ending of it, an equi-join on exploded endings; organisations by a name or alias, or
-    by containment inside their own meeting. A name that looks like an organisation and matches
+    by containment, an equi-join on exploded seams of words, inside their own meeting. A name that looks like an organisation and matches
     none is one, unlisted.
     """
     m = mentions.withColumn("_alias", name_key(F.col("mention"))).filter("_alias <> ''")
@@ -53,9 +75,9 @@ def candidates(mentions: DataFrame, people: DataFrame, organizations: DataFrame)
     o = organizations.select("meeting_id", "ref_id", "name", F.coalesce("functions", F.array().cast("array<string>")).alias("terms"), F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("_n"))
     o = o.withColumn("_key", name_key(F.col("_n")))
     exact = m.join(o.withColumnRenamed("_key", "_alias"), ["meeting_id", "_alias"]).withColumn("score", F.lit(FULL))
-    asked = m.select("meeting_id", "_alias").filter(F.col("_alias").contains(" ")).distinct()  # each once, however often it is said
-    inside = (F.col("_key") != F.col("_alias")) & (F.col("_key").contains(F.col("_alias")) | (F.col("_key").contains(" ") & F.col("_alias").contains(F.col("_key"))))
-    within = m.join(asked.join(o.drop("_n"), "meeting_id").filter(inside), ["meeting_id", "_alias"])
+    asked, keys = m.select("meeting_id", "_alias").distinct(), o.select("meeting_id", "_key").distinct()  # each once, however often it is said
+    inside = contained(keys, "_key", asked, "_alias").unionByName(contained(asked, "_alias", keys, "_key")).distinct()
+    within = m.join(inside, ["meeting_id", "_alias"]).join(o.drop("_n"), ["meeting_id", "_key"])
     orgs = exact.drop("_n").unionByName(within.drop("_key").withColumn("score", F.lit(PARTIAL_ORG))).withColumn("kind", F.lit("organization"))
     names = ["meeting_id", "mention_id", "mention", "ref_id", "name", "kind", "score", "terms"]
     listed = persons.select(*names).unionByName(orgs.select(*names))

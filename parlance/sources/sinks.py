@@ -68,7 +68,8 @@ def turns_as_authored(built: DataFrame, authored: DataFrame) -> DataFrame:
 
 
 def markdown(rows: DataFrame, title: str, order: Column, most: int = 1000) -> str:
-    """A report of a small table: a top-k report, at most ``most`` rows."""
-    got = rows.orderBy(order).limit(most).collect()
+    """A report of a small table: a top-k report of ``most`` rows, which says how many more there are."""
+    got = rows.orderBy(order).limit(most + 1).collect()
+    rest = f"\n{rows.count() - most} more rows are not shown.\n" if len(got) > most else ""
     head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}\n"
-    return head + "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in got)
+    return head + "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in got[:most]) + rest
