@@ -57,12 +57,14 @@ def analyze(
     hedges: list[str] | None = None,
     tasks: DataFrame | None = None,
     keep: Callable[[DataFrame], DataFrame] = written,
+    evidence: bool = True,
 ) -> Report:
     """``turns`` as ``transcripts.turns`` gives them; ``segments``: meeting_id, segment_id, segment_no, turn_lo, turn_hi.
 
     ``tasks``, the agenda if there is one: meeting_id, task_id, task_no, title, owner and support
     (names and ids as ``payloads.parse_agendas`` gives them), due. Without it there is no progress.
     ``keep`` holds a table between stages; by default it is written to the shared folder and read again.
+    ``evidence`` off leaves the rules out: everything goes to the verifier.
     """
     prompts = keep(extraction.topic_prompts(segments, turns))
     texts = prompts.select("meeting_id", "segment_id", F.col("prompt").alias("text"))
@@ -72,8 +74,17 @@ def analyze(
 
     decided = progress.check_decisions(_with_confirm(extraction.decisions(found["decision"][0], turns), turns, make_judge, cues), cues, hedges)
     acted = _with_confirm(extraction.actions(found["action"][0], turns, meeting_date, tasks), turns, make_judge, cues)
-    acted = acted.join(texts.withColumnRenamed("text", "_topic"), ["meeting_id", "segment_id"]).withColumn("grounded", F.coalesce(progress.actor_grounded(F.array("actor"), F.col("_topic")), F.lit(False))).drop("_topic")
+    acted = keep(acted)
+    named = actors.parties_of(acted, people, organizations).groupBy("meeting_id", "row_id").agg(F.collect_list("mention").alias("_parts"))
+    acted = acted.join(named, ["meeting_id", "row_id"], "left").join(texts.withColumnRenamed("text", "_topic"), ["meeting_id", "segment_id"])
+    acted = acted.withColumn("grounded", F.coalesce(progress.actor_grounded(F.col("_parts"), F.col("_topic")), F.lit(False))).drop("_topic", "_parts")
     acted = progress.check_actions(acted.withColumn("matched_speaker", F.col("actor")), cues)
+    open_ = actors.resolved_parties(acted, people, organizations, turns).select("meeting_id", "row_id", actors.ambiguity(F.col("assignees")).alias("_open"))
+    acted = acted.join(open_, ["meeting_id", "row_id"], "left")
+    acted = acted.withColumn("reasons", F.concat("reasons", F.array_compact(F.array("_open")))).withColumn("verdict", F.when(F.size("reasons") == 0, "clear").otherwise("uncertain")).drop("_open")
+    if not evidence:
+        off = {"reasons": F.array(F.lit("not checked")), "verdict": F.lit("uncertain")}
+        decided, acted = decided.withColumns(off), acted.withColumns(off)
     decided, acted = keep(decided), keep(acted)
 
     pending = acted.filter("verdict = 'uncertain'").select("meeting_id", F.concat(F.lit("a/"), "row_id").alias("candidate_id"), F.lit("assignment").alias("kind"), "text", "actor")
@@ -94,12 +105,10 @@ def analyze(
     decisions = keep(progress.merge_decisions(kept.select("meeting_id", place, "segment_id", "row_id", "text", F.col("item_ids").alias("evidence_ids"))))
     mine = settled(acted, "a").join(order, ["meeting_id", "segment_id"])
     mine = progress.merge_assignments(
-        mine.select("meeting_id", place, "segment_id", "row_id", F.coalesce(grouping_key(F.col("actor")), F.lit("")).alias("actor_key"), "actor", "status", "task_id", "text", F.col("deadline_date").cast("string").alias("deadline"), F.col("item_ids").alias("evidence_ids"))
+        mine.select("meeting_id", place, "segment_id", "row_id", F.coalesce(grouping_key(F.col("actor")), F.lit("")).alias("actor_key"), "actor", "status", "confirm_turn_id", "task_id", "text", F.col("deadline_date").cast("string").alias("deadline"), F.col("item_ids").alias("evidence_ids"))
     )
     mine = keep(mine)
-    mentions = mine.select("meeting_id", F.col("row_id").alias("mention_id"), F.col("actor").alias("mention"))
-    chosen = actors.resolved(mentions, actors.candidates(mentions, people, organizations), mine.select("meeting_id", F.col("row_id").alias("mention_id"), "text"))
-    assignments = keep(mine.join(chosen.select("meeting_id", F.col("mention_id").alias("row_id"), F.col("name").alias("assignee"), F.col("kind").alias("assignee_kind"), "flag"), ["meeting_id", "row_id"], "left"))
+    assignments = keep(mine.drop("confirm_turn_id").join(actors.resolved_parties(mine, people, organizations, turns), ["meeting_id", "row_id"], "left"))
 
     failures = found["content"][1].unionByName(found["decision"][1]).unionByName(found["action"][1])
     items = turns.select("meeting_id", "turn_id", "turn_no", "speaker", F.posexplode("source_items").alias("i", "s"))
@@ -117,8 +126,9 @@ def analyze(
 
     rolled, lost = task_reports(prompts, turns, order, tasks, meeting_date, make, make_judge, keep)
     related = with_relation(assignments, tasks)
-    moved = progress.latest_by_task(related.filter(F.col("relation").isin("reassign", "reschedule"))).select("meeting_id", "task_id", "relation", F.col("deadline").cast("date").alias("due"), F.array("assignee").alias("assignees"))
-    fresh = related.filter(~F.col("relation").isin("reassign", "reschedule")).select("meeting_id", F.col("row_id").alias("task_id"), "pos", "text", F.array("assignee").alias("assignees"), F.col("deadline").cast("date").alias("due"))
+    to_names = F.coalesce(F.transform("assignees", lambda x: F.coalesce(x["name"], x["mention"])), F.array("assignee"))
+    moved = progress.latest_by_task(related.filter(F.col("relation").isin("reassign", "reschedule"))).select("meeting_id", "task_id", "relation", F.col("deadline").cast("date").alias("due"), to_names.alias("assignees"))
+    fresh = related.filter(~F.col("relation").isin("reassign", "reschedule")).select("meeting_id", F.col("row_id").alias("task_id"), "pos", "text", to_names.alias("assignees"), F.col("deadline").cast("date").alias("due"))
     backlog = tasks.select("meeting_id", "task_id", "task_no", "title").join(rolled.select("meeting_id", "task_id", "status", F.coalesce("new_due", "due").alias("due")), ["meeting_id", "task_id"])
     return Report(labels, points, keep(related), decisions, records, failures.unionByName(lost), content, by_topic, documents.tasks_data(fresh, backlog, moved), rolled, covered)
 
@@ -128,7 +138,7 @@ def with_relation(assignments: DataFrame, tasks: DataFrame) -> DataFrame:
     parties = F.filter(F.array_union(F.array("owner.name"), F.transform(F.coalesce("support", F.array()), lambda x: x["name"])), lambda n: n.isNotNull())
     known = tasks.select("meeting_id", "task_id", F.col("due").alias("_due"), F.transform(parties, lambda n: name_key(n)).alias("_parties"), F.lit(True).alias("_known"))
     rows = assignments.join(known, ["meeting_id", "task_id"], "left")
-    mine = F.filter(F.array(name_key(F.col("assignee"))), lambda n: n.isNotNull())
+    mine = F.coalesce(F.filter(F.transform("assignees", lambda x: name_key(x["name"])), lambda n: n.isNotNull()), F.array().cast("array<string>"))
     rel = progress.relation(F.lit(True), F.col("_known"), F.col("status"), mine, F.coalesce("_parties", F.array().cast("array<string>")), F.col("deadline").cast("date"), F.col("_due"))
     return rows.withColumn("relation", rel).withColumn("task_id", F.when(F.col("relation") != "new", F.col("task_id"))).drop("_due", "_parties", "_known")
 

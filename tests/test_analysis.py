@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import extraction, ports
+from parlance.operators import actors, extraction, ports
 from parlance.operators import transcripts as tr
 from parlance.operators.verifier import MeetingTools, settle_verdict, verify
 from parlance.plans.analysis import analyze
@@ -143,6 +143,30 @@ def test_whole_analysis(spark):
     assert r.coverage.first().coverage == 1.0 and r.failures.count() == 0
 
 
+def test_compound_actors_and_context(spark):
+    turns, _ = meeting(spark)
+    people = spark.createDataFrame([("m", "P1", "Trần Hà", None), ("m", "P2", "Lê Hà", None), ("m", "P3", "An", None)], "meeting_id string, ref_id string, full_name string, org_id string")
+    orgs = spark.createDataFrame([("m", "O1", "Sở Y tế", [], [])], "meeting_id string, ref_id string, name string, aliases array<string>, functions array<string>")
+    rows = [("m", "1", "Hà và Sở Y tế", "write", "assigned", None), ("m", "2", "An", "write, phối hợp với Sở Y tế", "self_committed", "TURN_000003"), ("m", "3", None, "x", "assigned", None), ("m", "4", "An", "x", "assigned", "TURN_000003")]
+    df = spark.createDataFrame(rows, "meeting_id string, row_id string, actor string, text string, status string, confirm_turn_id string")
+    got = {r.row_id: r for r in actors.resolved_parties(df, people, orgs, turns).collect()}
+    assert [(a.name, a.role, a.flag) for a in got["1"].assignees] == [(None, "joint", "ambiguous"), ("Sở Y tế", "joint", None)]
+    assert (got["1"].assignee, got["1"].assignee_kind, got["1"].flag) == ("Hà và Sở Y tế", "unknown", "ambiguous")
+    assert [(a.name, a.role, a.ref_id) for a in got["2"].assignees] == [("An", "lead", "P3"), ("Sở Y tế", "support", "O1")] and got["2"].assignee == "An, Sở Y tế"
+    assert (got["3"].flag, got["3"].assignee) == ("missing", None)
+    assert got["4"].assignees[0].offered[0].score == 0.7  # who assigns is less likely meant
+    told = spark.createDataFrame([got["1"]], "meeting_id string, row_id string, assignees array<struct<mention_no int, mention string, role string, name string, kind string, ref_id string, flag string, offered array<struct<name string, score double>>>>, assignee string, assignee_kind string, flag string")
+    assert told.select(actors.ambiguity(F.col("assignees")).alias("a")).first().a == "ambiguous actor Hà: Lê Hà (0.60), Trần Hà (0.60)"
+
+
+def test_rules_can_be_left_out(spark):
+    turns, segments = meeting(spark)
+    people = spark.createDataFrame([("m", "P1", "Trần Hà", None)], "meeting_id string, ref_id string, full_name string, org_id string")
+    orgs = spark.createDataFrame([], "meeting_id string, ref_id string, name string, aliases array<string>, functions array<string>")
+    with_rules, without = (analyze(turns, segments, people, orgs, F.lit("2026-10-08"), BySystem, cues=["agree"], hedges=["maybe"], evidence=e).records.count() for e in (True, False))
+    assert with_rules < without == 4
+
+
 def test_labels_fall_back_to_the_text(spark):
     turns, segments = meeting(spark)
     prompts = extraction.topic_prompts(segments, turns)
