@@ -143,9 +143,9 @@ def same_content(a: Column, b: Column) -> Column:
 
 def find_cues(text: Column, cues: Iterable[str]) -> Column:
     """The cues that stand in the text as whole words, in the cues' order."""
-    found = F.lower(squeeze(text))
-    inside = lambda c: found.rlike(r"(?U)(?<!\w)" + _quote(c) + r"(?!\w)")
-    return F.filter(F.array(*[F.when(inside(c), F.lit(c)) for c in cues]), lambda x: x.isNotNull())
+    inside = lambda t, c: t.rlike(r"(?U)(?<!\w)" + _quote(c) + r"(?!\w)")
+    every = lambda t: F.filter(F.array(*[F.when(inside(t, c), F.lit(c)) for c in cues]), lambda x: x.isNotNull())
+    return F.get(F.transform(F.array(F.lower(squeeze(text))), every), F.lit(0))  # the text is made ready once
 
 
 def _quote(text: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -302,20 +302,22 @@ def parties_of(rows: DataFrame, people: DataFrame, organizations: DataFrame) ->
     return all_parties(mine, support_parties(rows.select("meeting_id", "row_id", "text"), names.select("meeting_id", F.explode("names").alias("name"))))
 
 
-def resolved_parties(rows: DataFrame, people: DataFrame, organizations: DataFrame, turns: DataFrame) -> DataFrame:
+def resolved_parties(rows: DataFrame, people: DataFrame, organizations: DataFrame, turns: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(meeting_id, row_id, assignees, assignee, assignee_kind, flag) of assignments.
 
     ``rows``: meeting_id, row_id, actor, text, status, confirm_turn_id. Every party is looked for in
     the roster, helped by who speaks in the confirming turn and after it, and by the task's words.
     ``assignees`` has mention, role, name, kind, ref_id, flag and offered, the names that it may mean
     with their scores, best first. ``assignee`` joins the names, or is the actor as said if one is open.
+    ``keep`` holds the parties and their candidates, each of which is read several times.
     """
     parties = parties_of(rows, people, organizations).withColumn("mention_id", F.concat_ws("/", F.col("row_id").cast("string"), F.col("mention_no").cast("string")))
+    parties = keep(parties)
     said = neighbours(turns, 1).select("meeting_id", F.col("turn_id").alias("confirm_turn_id"), F.col("speaker").alias("confirm_speaker"), "responder")
     own = rows.select("meeting_id", "row_id", "confirm_turn_id", "text", F.coalesce(F.col("status") == "self_committed", F.lit(False)).alias("self_committed"))
     told = parties.join(own, ["meeting_id", "row_id"]).join(said, ["meeting_id", "confirm_turn_id"], "left")
     mentions = parties.select("meeting_id", "mention_id", "mention")
-    found = with_context(candidates(mentions, people, organizations), told.select("meeting_id", "mention_id", "confirm_speaker", "responder", "self_committed"))
+    found = keep(with_context(candidates(mentions, people, organizations), told.select("meeting_id", "mention_id", "confirm_speaker", "responder", "self_committed")))
     offered = found.groupBy("meeting_id", "mention_id").agg(F.array_sort(F.collect_list(F.struct((-unit_score(F.col("score"))).alias("o"), "name"))).alias("offered"))
     chosen = resolved(mentions, found, told.select("meeting_id", "mention_id", "text")).drop("mention", "n_candidates", "score")
     each = parties.join(chosen, ["meeting_id", "mention_id"]).join(offered, ["meeting_id", "mention_id"], "left")

@@ -78,8 +78,8 @@ def analyze(
     named = actors.parties_of(acted, people, organizations).groupBy("meeting_id", "row_id").agg(F.collect_list("mention").alias("_parts"))
     acted = acted.join(named, ["meeting_id", "row_id"], "left").join(texts.withColumnRenamed("text", "_topic"), ["meeting_id", "segment_id"])
     acted = acted.withColumn("grounded", F.coalesce(progress.actor_grounded(F.col("_parts"), F.col("_topic")), F.lit(False))).drop("_topic", "_parts")
-    acted = progress.check_actions(acted.withColumn("matched_speaker", F.col("actor")), cues)
-    open_ = actors.resolved_parties(acted, people, organizations, turns).select("meeting_id", "row_id", actors.ambiguity(F.col("assignees")).alias("_open"))
+    acted = keep(progress.check_actions(acted.withColumn("matched_speaker", F.col("actor")), cues))
+    open_ = actors.resolved_parties(acted, people, organizations, turns, keep).select("meeting_id", "row_id", actors.ambiguity(F.col("assignees")).alias("_open"))
     acted = acted.join(open_, ["meeting_id", "row_id"], "left")
     acted = acted.withColumn("reasons", F.concat("reasons", F.array_compact(F.array("_open")))).withColumn("verdict", F.when(F.size("reasons") == 0, "clear").otherwise("uncertain")).drop("_open")
     if not evidence:
@@ -108,7 +108,7 @@ def analyze(
         mine.select("meeting_id", place, "segment_id", "row_id", F.coalesce(grouping_key(F.col("actor")), F.lit("")).alias("actor_key"), "actor", "status", "confirm_turn_id", "task_id", "text", F.col("deadline_date").cast("string").alias("deadline"), F.col("item_ids").alias("evidence_ids"))
     )
     mine = keep(mine)
-    assignments = keep(mine.drop("confirm_turn_id").join(actors.resolved_parties(mine, people, organizations, turns), ["meeting_id", "row_id"], "left"))
+    assignments = keep(mine.drop("confirm_turn_id").join(actors.resolved_parties(mine, people, organizations, turns, keep), ["meeting_id", "row_id"], "left"))
 
     failures = found["content"][1].unionByName(found["decision"][1]).unionByName(found["action"][1])
     items = turns.select("meeting_id", "turn_id", "turn_no", "speaker", F.posexplode("source_items").alias("i", "s"))
