@@ -106,3 +106,42 @@ def test_single_flight_shares_results():
     for t in threads:
         t.join()
     assert out == [5] * 4 and len(n) <= 2
+
+
+def test_gold_manifests_and_predictions(spark):
+    import json
+
+    from parlance.sources import benchmark as bm
+
+    gold = {"meeting_id": "m", "n_turns": 2, "negatives": [{"id": "N1", "type": "rejected_task", "text": "x", "evidence_turn_ids": ["T1"]}], "assignments": [{"id": "A1", "actor": "An", "task": "t"}]}
+    files = spark.createDataFrame([("a", json.dumps(gold)), ("b", json.dumps({"negatives": [{"type": "odd"}]})), ("c", "no json")], "source string, payload string")
+    rows = {r.file: r for r in bm.parse_gold(files).collect()}
+    assert rows["a"].errors == [] and rows["b"].errors == ["no meeting id", "no number of turns", "unknown kind of negative"] and "no meeting id" in rows["c"].errors
+    good = bm.parse_gold(files).filter("file = 'a'")
+    assert [(r.id, r.actor, r.evidence) for r in bm.gold_items(good, "assignments").collect()] == [("A1", "An", [])]
+    assert [r.evidence for r in bm.gold_items(good, "negatives").collect()] == [["T1"]]
+    turns = spark.createDataFrame([("m", 1, "T1", "An", "a"), ("m", 2, "T2", None, "b")], "meeting_id string, turn_no int, turn_id string, speaker string, text_exact string")
+    assert bm.turn_counts(good, turns).count() == 0 and bm.turn_counts(good, turns.limit(1)).first().built == 1
+    assert bm.rendered(turns).first().prompt == "[T1] An: a\n[T2] None: b"
+    listed = spark.createDataFrame([(json.dumps([{"meeting_id": "m", "n_turns": 2}, {"title": "x"}]),)], "payload string")
+    assert [(r.meeting_id, r.errors) for r in bm.parse_manifests(listed).collect()] == [("m", []), (None, ["no meeting id"])]
+    stored = spark.createDataFrame([(json.dumps({"meeting_id": "m", "status": "ok", "output": {"assignments": [{"task": "t"}], "reasoning": "r"}}),), (json.dumps({"meeting_id": "n", "status": "?"}),)], "payload string")
+    got = {r.meeting_id: r for r in bm.parse_predictions(stored).collect()}
+    assert got["m"].errors == [] and got["m"].result.assignments[0].task == "t" and got["m"].result.topics == [] == got["n"].result.decisions and got["n"].errors == ["unknown status"]
+
+
+def test_methods_resume(spark, tmp_path):
+    import json
+
+    from parlance.operators import ports
+    from parlance.plans import methods
+
+    turns = spark.createDataFrame([("m", 1, "T1", "An", "good"), ("n", 1, "T1", "An", "bad")], "meeting_id string, turn_no int, turn_id string, speaker string, text_exact string")
+    answer = {"decisions": [{"text": "d"}], "reasoning": "gone"}
+    got = {r.meeting_id: r for r in methods.run(["zero_shot"], turns, lambda: ports.FakeLLM({"bad": ValueError("no")}, answer), str(tmp_path / "r")).collect()}
+    assert got["m"].status == "ok" and json.loads(got["m"].output)["decisions"][0]["text"] == "d" and "reasoning" not in got["m"].output
+    assert got["n"].status == "error" and got["n"].error == "ValueError: no"
+    again = {r.meeting_id: r for r in methods.run(["zero_shot"], turns, lambda: ports.FakeLLM({}, {"decisions": []}), str(tmp_path / "r")).collect()}
+    assert json.loads(again["m"].output)["decisions"] and again["n"].status == "ok"  # only what failed is asked again
+    with pytest.raises(ValueError, match="zero_shot"):
+        methods.load("none")
