@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import PRONOUNS, STOPWORDS, VAGUE_ACTORS
+from parlance.operators import actors
 from parlance.operators.ports import LLM
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -39,10 +40,18 @@ def _terms(text: str) -> Counter:
 
 
 class MeetingTools:
-    """Read-only lookups in one meeting: a turn, a search, a speaker."""
+    """Read-only lookups in one meeting: a turn, a search, whom a name may mean.
 
-    def __init__(self, turns: list[dict]) -> None:
+    ``roster`` lists whom the meeting knows: name, kind and aliases. Speakers are known as well.
+    """
+
+    def __init__(self, turns: list[dict], roster: list[dict] | None = None) -> None:
         self.turns = turns
+        self.roster = list(roster or [])
+        listed = {actors.plain_key(r["name"]) for r in self.roster}
+        for name in dict.fromkeys(t["speaker"] for t in turns if t["speaker"]):
+            if actors.plain_key(name) not in listed:
+                self.roster.append({"name": name, "kind": "person", "aliases": []})
         self._terms = [_terms(t["text"]) for t in turns]
         self._size = [sum(n for w, n in c.items() if " " not in w) for c in self._terms]
         self._mean = sum(self._size) / len(self._size) if turns else 1.0
@@ -80,6 +89,44 @@ class MeetingTools:
                 scored.append((-score, i))
         return [self.turns[i] for i in sorted(i for _, i in sorted(scored)[:k])]
 
+    def candidates(self, said: str, turn: dict | None = None, self_committed: bool = False) -> list[tuple[float, str, str]]:
+        """(score, name, kind) of everyone whom a name may mean, best first: by the roster's rules, and by who speaks in the turn and after it."""
+        alias, found = actors.plain_key(said), []
+        place = self.turns.index(turn) if turn else None
+        after = self.turns[place + 1]["speaker"] if turn and place + 1 < len(self.turns) else None
+        mine, theirs = (actors.plain_key(x) if x else None for x in (turn["speaker"] if turn else None, after))
+        for r in self.roster:
+            keys = [actors.plain_key(n) for n in (r["name"], *(r["aliases"] or []))]
+            score = 0.0
+            if alias in keys:
+                score = actors.FULL
+            elif r["kind"] == "person":
+                score = actors.GIVEN if keys[0].endswith(f" {alias}") else 0.0
+            elif any((" " in alias and alias in k) or (" " in k and k in alias) for k in keys):
+                score = actors.PARTIAL_ORG
+            if not score:
+                continue
+            if r["kind"] == "person" and keys[0] == mine:
+                score += actors.SELF_COMMIT if self_committed else actors.ASSIGNER
+            elif r["kind"] == "person" and keys[0] == theirs:
+                score += actors.RESPONDER
+            found.append((round(min(1.0, max(0.0, score)), 2), r["name"], r["kind"]))
+        return sorted(found, key=lambda x: (-x[0], x[2], x[1]))
+
+    def lookup(self, argument: str) -> str:
+        """Whom "name" or "name @turn" may mean, a line each, and whether one is clear."""
+        alias, _, turn = argument.partition("@")
+        if not alias.strip():
+            return "no name before @"
+        at = self.find(turn.strip()) if turn.strip() else None
+        if turn.strip() and not at:
+            return "no such turn"
+        found = self.candidates(alias, at)
+        if not found:
+            return f"nobody is called {alias.strip()}; known: {', '.join(r['name'] for r in self.roster) or 'nobody'}"
+        clear = found[0][0] >= actors.CLEAR_SCORE and round(found[0][0] - (found[1][0] if len(found) > 1 else 0.0), 2) >= actors.CLEAR_MARGIN
+        return "\n".join([*(f"{name} | {kind} | {score:.2f}" for score, name, kind in found), f"clear: {found[0][1]}" if clear else "ambiguous"])
+
     def run(self, action: str, argument: str) -> str:
         if action == "get_turn":
             turn = self.find(argument)
@@ -88,8 +135,7 @@ class MeetingTools:
             found = self.search(argument)
             return "\n".join(self.line(t, MAX_TURN, _terms(argument)) for t in found) or "nothing found"
         if action == "lookup_speaker":
-            spoken = [t for t in self.turns if t["speaker"] and argument.lower() in t["speaker"].lower()]
-            return "\n".join(self.line(t, MAX_TURN) for t in spoken[:TOP_K]) or "no such speaker"
+            return self.lookup(argument)
         return "no such tool"
 
 
@@ -171,11 +217,22 @@ def defends(reply: dict, tools: MeetingTools, llm: LLM) -> bool:
         return False
 
 
-def verified(candidates: DataFrame, turns: DataFrame, make: Callable[[], LLM], rounds: int = ROUNDS) -> DataFrame:
-    """A record for every candidate (meeting_id, candidate_id, kind, text, actor): outcome, kept, text, actor, rounds (JSON), error."""
+def verified(candidates: DataFrame, turns: DataFrame, make: Callable[[], LLM], rounds: int = ROUNDS, roster: DataFrame | None = None) -> DataFrame:
+    """A record for every candidate (meeting_id, candidate_id, kind, text, actor): outcome, kept, text, actor, rounds (JSON), error.
+
+    ``roster``: meeting_id, name, kind, aliases of whom the meetings know.
+    """
     meeting = turns.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "turn_id", "speaker", F.col("text_exact").alias("text")))).alias("turns"))
+    if roster is not None:
+        listed = roster.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("name", "kind", F.to_json("aliases").alias("aliases")))).alias("roster"))
+        meeting = meeting.join(listed, "meeting_id", "left")
+    else:
+        meeting = meeting.withColumn("roster", F.lit(None).cast("array<struct<name: string, kind: string, aliases: string>>"))
     kind = dict(candidates.dtypes)["meeting_id"]
 
+    def dicts(rows) -> list[dict]:
+        return [dict(t) if isinstance(t, dict) else t.asDict() for t in (rows if rows is not None else [])]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         llm, cache = make(), {}
         for part in parts:
@@ -183,7 +240,8 @@ def verified(candidates: DataFrame, turns: DataFrame, make: Callable[[], LLM], r
             for row in part.to_dict("records"):
                 if row["meeting_id"] not in cache:
                     cache.clear()
-                    cache[row["meeting_id"]] = MeetingTools([dict(t) if isinstance(t, dict) else t.asDict() for t in (row["turns"] if row["turns"] is not None else [])])
+                    known = [r | {"aliases": json.loads(r["aliases"] or "[]")} for r in dicts(row["roster"])]
+                    cache[row["meeting_id"]] = MeetingTools(dicts(row["turns"]), known)
                 r = verify({k: row[k] for k in ("candidate_id", "kind", "text", "actor")}, cache[row["meeting_id"]], llm, rounds)
                 out.append((row["meeting_id"], r.candidate_id, r.outcome, r.kept, r.text, r.actor, json.dumps(r.rounds, ensure_ascii=False), r.error))
             yield pd.DataFrame(out, columns=["meeting_id", "candidate_id", "outcome", "kept", "text", "actor", "rounds", "error"])

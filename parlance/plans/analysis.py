@@ -89,7 +89,9 @@ def analyze(
 
     pending = acted.filter("verdict = 'uncertain'").select("meeting_id", F.concat(F.lit("a/"), "row_id").alias("candidate_id"), F.lit("assignment").alias("kind"), "text", "actor")
     pending = pending.unionByName(decided.filter("verdict = 'uncertain'").select("meeting_id", F.concat(F.lit("d/"), "row_id").alias("candidate_id"), F.lit("decision").alias("kind"), "text", F.lit(None).cast("string").alias("actor")))
-    records = keep(verified(keep(pending), turns, make))
+    known = people.select("meeting_id", F.col("full_name").alias("name"), F.lit("person").alias("kind"), F.array().cast("array<string>").alias("aliases"))
+    known = known.unionByName(organizations.select("meeting_id", "name", F.lit("organization").alias("kind"), "aliases"))
+    records = keep(verified(keep(pending), turns, make, roster=known))
 
     def settled(rows: DataFrame, prefix: str) -> DataFrame:
         """Clear rows, and uncertain ones as their record leaves them."""

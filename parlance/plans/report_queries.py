@@ -11,7 +11,7 @@ from parlance.plans.meeting_queries import UPDATES, labelled, roster, task_updat
 from parlance.plans.registry import query, table
 from parlance.plans.segment_queries import DEPTHS, meetings
 from parlance.plans.transcript_queries import TURNS, conversation_turns, line_items
-from parlance.sources import sinks
+from parlance.sources import benchmark, sinks
 
 
 @query(f"WITH {DEPTHS}, r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY depth DESC, gap) AS k FROM dp) SELECT meeting_id, (gap + 1)::INT AS pos FROM r WHERE k <= 3")
@@ -79,3 +79,33 @@ def labelled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = table(spark, sf_dir, "documents").select(F.col("source").alias("meeting_id"), F.col("doc_id").alias("turn_no"))
     keyed = rows.select(F.col("source").alias("meeting_id"), F.col("doc_id").alias("turn_no"), "gold", "toxic")
     return scoring.labelled_sample(every, keyed.filter("gold"), keyed.filter("toxic"))
+
+
+@query(f"WITH {TURNS} SELECT meeting_id, string_agg('[' || turn_id || '] ' || speaker || ': ' || text_exact, chr(10) ORDER BY turn_no) AS prompt, sum(length('[' || turn_id || '] ' || speaker || ': ' || text_exact) + 1)::BIGINT - 1 AS chars FROM turns GROUP BY 1")
+def method_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as methods are shown them."""
+    return benchmark.rendered(conversation_turns(spark, sf_dir)).withColumn("chars", F.col("chars").cast("bigint"))
+
+
+@query(
+    """SELECT conv_id::VARCHAR AS meeting_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS item_no, 'A' || turn AS id, role AS actor, text AS task, CASE WHEN turn % 2 = 0 THEN 'T' || turn ELSE '' END AS evidence,
+CASE WHEN conv_id % 4 = 0 THEN 'no number of turns' ELSE '' END AS errors FROM conversations"""
+)
+def parsed_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold files made of conversations: their assignments, and what is wrong with each file."""
+    one = F.struct(F.concat(F.lit("A"), "turn").alias("id"), F.col("role").alias("actor"), F.col("text").alias("task"), F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("T"), "turn"))).alias("evidence_turn_ids"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("x")))), lambda y: y["x"]).alias("assignments"), F.count(F.lit(1)).alias("n"))
+    said = F.to_json(F.struct(F.col("conv_id").cast("string").alias("meeting_id"), F.when(F.col("conv_id") % 4 != 0, F.col("n")).alias("n_turns"), "assignments"))
+    gold = benchmark.parse_gold(rows.select(F.col("conv_id").cast("string").alias("source"), said.alias("payload")))
+    items = benchmark.gold_items(gold, "assignments").join(gold.select("meeting_id", "errors"), "meeting_id")
+    return items.select("meeting_id", "item_no", "id", "actor", "task", F.array_join("evidence", ",").alias("evidence"), F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::INT AS n_assignments, 0::INT AS n_topics, CASE WHEN doc_id % 2 = 0 THEN lang END AS task FROM documents"""
+)
+def common_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw outputs of methods in the schema that all share."""
+    raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.array(F.struct(F.col("lang").alias("task"))).alias("assignments"), F.lit("x").alias("reasoning")))).otherwise("[]")
+    rows = table(spark, sf_dir, "documents").select("doc_id", benchmark.common_schema(raw).alias("r"))
+    return rows.select("doc_id", F.size("r.assignments").alias("n_assignments"), F.size("r.topics").alias("n_topics"), F.get("r.assignments", F.lit(0))["task"].alias("task"))

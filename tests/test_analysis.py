@@ -65,7 +65,12 @@ def test_tools_and_verdicts():
     tools = MeetingTools(TURNS)
     assert tools.find("3")["turn_id"] == "TURN_000003" and tools.find("x") is None
     assert [t["turn_id"] for t in tools.search("budget report")] == [t["turn_id"] for t in TURNS]
-    assert tools.run("lookup_speaker", "hà").startswith("[TURN_000002")
+    assert tools.run("lookup_speaker", "hà").endswith("clear: " + tools.turns[1]["speaker"])
+    many = MeetingTools(TURNS, [{"name": n, "kind": k, "aliases": a} for n, k, a in (("Phạm Sơn", "person", []), ("Lê Sơn", "person", []), ("Sở Y tế", "organization", ["SYT"]))])
+    assert many.run("lookup_speaker", "anh Sơn").splitlines() == ["Lê Sơn | person | 0.60", "Phạm Sơn | person | 0.60", "ambiguous"]
+    assert many.run("lookup_speaker", "syt") == "Sở Y tế | organization | 1.00\nclear: Sở Y tế"
+    assert many.run("lookup_speaker", "x @T99") == "no such turn" and many.run("lookup_speaker", "@1") == "no name before @" and many.run("lookup_speaker", "Zoe").startswith("nobody")
+    assert many.run("lookup_speaker", f"{TURNS[0]['speaker']} @1").splitlines()[0].endswith("0.70")  # who assigns
     assert settle_verdict("revise", "decision", "T", {"T"}, "An") == ("keep", "An")
     assert settle_verdict("keep", "assignment", "T", {"T"}, "em") == ("keep", None)
     assert MeetingTools([]).search("x") == []
