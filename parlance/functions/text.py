@@ -74,9 +74,10 @@ def _compositions() -> str:
 def nfc(text: Column) -> Column:
     """Unicode normal form C of Latin letters with combining marks, Vietnamese ones among them."""
     table = F.str_to_map(F.lit(_compositions()), F.lit("\x01"), F.lit("\x02"))
-    letters = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}"), F.lit(0))
+    letters = lambda t: F.regexp_extract_all(t, F.lit(r"(?s)\P{M}\p{M}*|\p{M}"), F.lit(0))
     one = lambda g: F.when(F.length(g) > 1, F.coalesce(F.try_element_at(table, g), g)).otherwise(g)
-    return F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(letters, one), "")).otherwise(text)
+    whole = lambda t: F.when(t.rlike(r"\p{M}"), F.array_join(F.transform(letters(t), one), "")).otherwise(t)
+    return F.get(F.transform(F.array(text), whole), F.lit(0))  # the text is worked out once
 
 
 def squeeze(text: Column) -> Column:

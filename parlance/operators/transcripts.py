@@ -30,11 +30,13 @@ def clean_speaker(name: Column) -> Column:
 
 
 def speaker_role(role: Column) -> Column:
-    r = F.lower(squeeze(role))
-    out = r
-    for said, meant in ROLES.items():
-        out = F.when(r == said, F.lit(meant)).otherwise(out)
-    return F.when(r != "", out)
+    def meant(r: Column) -> Column:
+        out = r
+        for said, name in ROLES.items():
+            out = F.when(r == said, F.lit(name)).otherwise(out)
+        return F.when(r != "", out)
+
+    return F.get(F.transform(F.array(F.lower(squeeze(role))), meant), F.lit(0))
 
 
 def effective(items: DataFrame) -> DataFrame:
