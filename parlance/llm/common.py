@@ -21,11 +21,16 @@ from parlance.sources.shared import shared_dir
 # --- tables in the shared folder -----------------------------------------------------------
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``group_rows``: rows of a row group at most. A task buffers a row group to write it and up to
+    4096 rows of one to read it, so tables of large rows need it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parlance-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.row.count.limit", str(group_rows)) if group_rows else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._parlance_path = path
     return out
@@ -160,8 +165,14 @@ def words(raw: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tupl
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return between(prefix(raw.astype(U) + U(1)), starts, ends)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 1 << 16) -> np.ndarray:
+    """A hash per word, worked out for ``size`` words at a time: eight bytes a byte of text are held for those only."""
+    out = np.empty(len(starts), U)
+    for lo in range(0, len(starts), size):
+        hi = min(lo + size, len(starts))
+        at = starts[lo]
+        out[lo:hi] = between(prefix(raw[at : ends[hi - 1]].astype(U) + U(1)), starts[lo:hi] - at, ends[lo:hi] - at)
+    return out
 
 
 def chunks(offs: np.ndarray, size: int) -> list[tuple[int, int]]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import U, chunks, materialize, small_batches, utf8
 
 PACK_BYTES, BUCKET_KEYS = 2_000_000, 2_000_000
+GROUP_PACKS = 4  # packs of a row group of their table: as many texts as a task holds at once, however the input is laid out
 
 
 @dataclass
@@ -57,7 +58,7 @@ def make_packs(docs: DataFrame, key: str, text: str, ordered: bool, pack_bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([int(offs[hi] - offs[lo])], pa.int64())], names=["pack", "ids", "texts", "n_bytes"])
                 number += 1
 
-    return materialize(rows.mapInArrow(run, f"pack long, ids array<{kind}>, texts array<string>, n_bytes long"), "packs")
+    return materialize(rows.mapInArrow(run, f"pack long, ids array<{kind}>, texts array<string>, n_bytes long"), "packs", GROUP_PACKS)
 
 
 def each_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[Pack]:

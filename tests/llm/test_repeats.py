@@ -3,11 +3,16 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
+from parlance.llm.common import between, prefix, word_hashes, words
+from parlance.llm.packs import GROUP_PACKS, make_packs
 from parlance.llm.substrings import repeated_words
 from parlance.llm.suffixes import IndexFamily, anchors, repeated_bytes
 
@@ -100,3 +105,26 @@ def test_index_family_merges_geometrically():
         seen |= {int(x) for x in batch}
     sizes = [len(x) for x in family.levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) < 8
+
+
+def test_packs_of_a_large_partition_stand_in_small_row_groups(spark):
+    docs = frame(spark, [(i, f"text {i} " * 20) for i in range(150)]).coalesce(1)
+    packs = make_packs(docs, "doc_id", "text", ordered=False, pack_bytes=500)
+    files = [pq.ParquetFile(f).metadata for f in Path(packs._parlance_path.removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == packs.count() > 5 * GROUP_PACKS
+    assert max(groups) <= GROUP_PACKS
+
+
+def test_hashes_of_words_in_slices():
+    raw = np.frombuffer("".join(f"wörd{k % 999} " for k in range(200_000)).encode(), np.uint8)
+    starts, ends, _ = words(raw, np.array([0, len(raw)]))
+    n = len(raw) // 20
+    whole = between(prefix(raw[:n].astype(np.uint64) + np.uint64(1)), starts[ends <= n], ends[ends <= n])
+    tracemalloc.start()
+    got = word_hashes(raw, starts, ends, size=1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[: len(whole)] == whole).all() and len(np.unique(got)) == 999
+    assert len(word_hashes(raw[:0], starts[:0], ends[:0])) == 0
+    assert peak < got.nbytes + 2 * len(raw)
