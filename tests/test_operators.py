@@ -157,6 +157,35 @@ def test_context_and_functions_decide_ties(spark):
     assert {r.mention_id: r.ref_id for r in actors.choose(found, tasks).collect()}[1] == "P2"
 
 
+def most_shuffled(df):
+    """Rows of the result, and the most rows that one exchange of its plan wrote."""
+    n, most, nodes = len(df.collect()), 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        nodes += below
+    return n, most
+
+
+def crowd(spark):
+    """A meeting where 100 people share a given name that is said 200 times, in two spellings."""
+    people = spark.createDataFrame([("m", f"P{i}", f"Họ{i} An", None) for i in range(100)], "meeting_id string, ref_id string, full_name string, org_id string")
+    orgs = spark.createDataFrame([("m", "O1", "Sở Y tế", ["Y tế"], [])], "meeting_id string, ref_id string, name string, aliases array<string>, functions array<string>")
+    said = [("m", i, "An" if i % 2 else "AN") for i in range(200)] + [("m", 200, "Sở Lạ"), ("m", 201, "sở y tế"), ("m", 202, "họ7 an"), ("m", 203, None), ("m", 204, " "), (None, 205, "Sở Lạ"), (None, 206, "An")]
+    return spark.createDataFrame(said, "meeting_id string, mention_id int, mention string"), people, orgs
+
+
+def test_no_pair_of_a_mention_and_a_candidate_is_shuffled(spark):
+    mentions, people, orgs = crowd(spark)
+    found = actors.candidates(mentions, people, orgs)
+    n, most = most_shuffled(found)
+    assert n == 200 * 100 + 4 and most < 1000
+    assert sorted((r.mention_id, r.name, r.score) for r in found.filter("mention_id >= 200").collect()) == [(200, "Sở Lạ", 0.6), (201, "Sở Y tế", 1.0), (202, "Họ7 An", 1.0), (205, "Sở Lạ", 0.6)]
+
+
 def test_merging_is_first_fit(spark):
     rows = [("m", 1, "sơn", None, "rà soát báo cáo tài chính quý", None, ["1"]), ("m", 2, "sơn", "T1", "rà soát báo cáo tài chính quý ba", "2026-01-01", ["2"]), ("m", 3, "hà", None, "rà soát báo cáo tài chính quý", None, ["3"]), ("m", 4, "sơn", "T2", "rà soát báo cáo tài chính quý", None, ["4"])]
     df = spark.createDataFrame(rows, "meeting_id string, pos int, actor_key string, task_id string, text string, deadline string, evidence_ids array<string>")
