@@ -54,8 +54,7 @@ SELECT m.mention_id, CASE WHEN ok THEN name END AS name, CASE WHEN ok THEN kind
 )
 def actor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clear candidate of each mention; else it is ambiguous or missing."""
-    mentions, people, orgs = roster(spark, sf_dir)
-    return actors.resolved(mentions, actors.candidates(mentions, people, orgs)).select("mention_id", "name", "kind", "flag", "n_candidates")
+    return actors.resolved_by_roster(*roster(spark, sf_dir)).select("mention_id", "name", "kind", "flag", "n_candidates")
 
 
 @query(

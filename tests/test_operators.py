@@ -186,6 +186,17 @@ def test_no_pair_of_a_mention_and_a_candidate_is_shuffled(spark):
     assert sorted((r.mention_id, r.name, r.score) for r in found.filter("mention_id >= 200").collect()) == [(200, "Sở Lạ", 0.6), (201, "Sở Y tế", 1.0), (202, "Họ7 An", 1.0), (205, "Sở Lạ", 0.6)]
 
 
+def test_a_choice_by_the_roster_is_made_once_for_each_name(spark):
+    mentions, people, orgs = crowd(spark)
+    got = actors.resolved_by_roster(mentions, people, orgs)
+    assert most_shuffled(got) == (207, 207)
+    columns = ["meeting_id", "mention_id", "mention", "name", "kind", "ref_id", "score", "flag", "n_candidates"]
+    each = actors.resolved(mentions, actors.candidates(mentions, people, orgs)).select(columns)
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, each.collect()))
+    rows = {r.mention_id: (r.name, r.flag, r.n_candidates) for r in got.collect()}
+    assert rows[0] == rows[1] == (None, "ambiguous", 100) and rows[202] == ("Họ7 An", None, 1) and rows[203][1] == rows[204][1] == "missing"
+
+
 def test_merging_is_first_fit(spark):
     rows = [("m", 1, "sơn", None, "rà soát báo cáo tài chính quý", None, ["1"]), ("m", 2, "sơn", "T1", "rà soát báo cáo tài chính quý ba", "2026-01-01", ["2"]), ("m", 3, "hà", None, "rà soát báo cáo tài chính quý", None, ["3"]), ("m", 4, "sơn", "T2", "rà soát báo cáo tài chính quý", None, ["4"])]
     df = spark.createDataFrame(rows, "meeting_id string, pos int, actor_key string, task_id string, text string, deadline string, evidence_ids array<string>")
