@@ -197,6 +197,22 @@ def test_a_choice_by_the_roster_is_made_once_for_each_name(spark):
     assert rows[0] == rows[1] == (None, "ambiguous", 100) and rows[202] == ("Họ7 An", None, 1) and rows[203][1] == rows[204][1] == "missing"
 
 
+def test_pairs_of_a_frequent_name_take_many_tasks_and_the_same_rows(spark):
+    mentions, people, orgs = crowd(spark)
+    plain = sorted(map(str, actors.candidates(mentions, people, orgs).collect()))
+    tiled = actors.candidates(mentions, people, orgs, many=2, side=32, run=8)
+    assert sorted(map(str, tiled.collect())) == plain
+    of_name = tiled.filter("lower(mention) = 'an'")  # tiles of at most 32 x 32 pairs, dealt out by a hash
+    assert of_name.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 8 * 32 * 32
+
+
+def test_a_frequent_name_is_no_single_task(spark):
+    people = spark.range(9000).select(F.lit("m").alias("meeting_id"), F.concat(F.lit("P"), "id").alias("ref_id"), F.concat(F.lit("Nguyễn"), "id", F.lit(" An")).alias("full_name"), F.lit(None).cast("string").alias("org_id"))
+    mentions = spark.range(150).select(F.lit("m").alias("meeting_id"), F.col("id").alias("mention_id"), F.lit("An").alias("mention"))
+    n = [r["count"] for r in actors.candidates(mentions, people, crowd(spark)[2]).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == 150 * 9000 and len(n) > 1
+
+
 def test_merging_is_first_fit(spark):
     rows = [("m", 1, "sơn", None, "rà soát báo cáo tài chính quý", None, ["1"]), ("m", 2, "sơn", "T1", "rà soát báo cáo tài chính quý ba", "2026-01-01", ["2"]), ("m", 3, "hà", None, "rà soát báo cáo tài chính quý", None, ["3"]), ("m", 4, "sơn", "T2", "rà soát báo cáo tài chính quý", None, ["4"])]
     df = spark.createDataFrame(rows, "meeting_id string, pos int, actor_key string, task_id string, text string, deadline string, evidence_ids array<string>")
